@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm import bpe, media, packing, toxicity
+from isoloom.llm import bpe, media, ngram_join, packing, suffix_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +23,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -34,6 +42,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_bpe": op4_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
