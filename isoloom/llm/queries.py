@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm import bpe, media, ngram_join, packing, suffix_dedup, toxicity
+from isoloom.llm import bpe, media, ngram_join, packing, quality, suffix_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -40,6 +45,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op4_bpe": op4_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -47,4 +53,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.oracle_sql()}
