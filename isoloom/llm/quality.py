@@ -42,6 +42,7 @@ RULES = (
     ("lines", "n_dup_lines > 0.30 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
     ("windows", "n_repeat_words > 0.20 * n_words", "n_repeat_words <= 0.05 * n_words"),
     ("common", "n_common < 0.04 * n_words", "n_common > 0.10 * n_words"),
+    ("echoes", "n_echoes > 0.15 * n_words", "n_echoes < 0.05 * n_words"),
     ("lengths", "word_chars > 12 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 9 * n_words"),
 )
 #: Starting probabilities of a vote (bad, none, good) by good and by bad documents, and of a good document.
@@ -78,6 +79,7 @@ def counts(docs: DataFrame) -> DataFrame:
         "n_exclaims",
         "n_bars",
         F.expr("CAST(size(filter(words, w -> NOT w RLIKE '[a-z]' AND w RLIKE '[A-Z].*[A-Z]')) AS long)").alias("n_caps"),
+        F.expr("CAST(size(filter(words, (w, i) -> w <=> get(words, i - 1))) AS long)").alias("n_echoes"),
         F.expr(f"CAST(size(filter(words, w -> lower(w) IN ({listed}))) AS long)").alias("n_common"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -136,10 +138,10 @@ def oracle_sql(iterations: int = ITERATIONS) -> str:
     wins AS (SELECT id, pos, CASE WHEN lead(w, {WINDOW - 1}) OVER o IS NOT NULL THEN {leads} END AS win FROM words WINDOW o AS (PARTITION BY id ORDER BY pos)),
     rep AS (SELECT id, pos FROM (SELECT id, pos, count(*) OVER (PARTITION BY id, win) AS n FROM wins WHERE win IS NOT NULL) WHERE n > 1),
     cov AS (SELECT id, count(DISTINCT pos + i) AS n FROM rep, range({WINDOW}) g(i) GROUP BY id),
-    per AS (SELECT id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (NOT regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z].*[A-Z]')) AS n_caps, count(*) FILTER (lower(w) IN ({listed})) AS n_common FROM words GROUP BY id),
+    per AS (SELECT id, count(*) AS n_words, count(*) FILTER (w = before) AS n_echoes, sum(length(w)) AS word_chars, count(*) FILTER (NOT regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z].*[A-Z]')) AS n_caps, count(*) FILTER (lower(w) IN ({listed})) AS n_common FROM (SELECT *, lag(w) OVER (PARTITION BY id ORDER BY pos) AS before FROM words) GROUP BY id),
     lns AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY id),
     counts AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, {'+'.join(map(number, '#*$%&|<>'))} AS n_symbols, {number('!')} AS n_exclaims, {number('|')} AS n_bars,
-        coalesce(n_caps, 0) AS n_caps, coalesce(n_common, 0) AS n_common, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+        coalesce(n_caps, 0) AS n_caps, coalesce(n_common, 0) AS n_common, coalesce(n_echoes, 0) AS n_echoes, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
         FROM d LEFT JOIN per USING (id) LEFT JOIN lns USING (id) LEFT JOIN cov USING (id)),
     voted AS MATERIALIZED (SELECT *, {pattern_sql()} AS pattern FROM counts),
     pat AS MATERIALIZED (SELECT pattern, count(*) AS n FROM voted GROUP BY pattern),
