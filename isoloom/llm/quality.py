@@ -28,7 +28,7 @@ from isoloom.runtime import written
 WINDOW = 8
 ITERATIONS = 25
 #: The weight of the starting accuracies, as a share of the documents.
-PRIOR_SHARE = 0.2
+PRIOR_SHARE = 3.0
 
 #: Common words of English, German, French and Spanish. Fixed values.
 COMMON_WORDS = "the of and to in is that for with was on are it be as at by this from or der die und das von zu den mit sich des auf für ist im dem nicht ein eine le la les de et un une du que est dans qui par pour au sur pas avec el los en y las del se por con para su al lo como más".split()
@@ -40,13 +40,13 @@ RULES = (
     ("exclaims", "n_exclaims > 0.20 * n_words", "n_exclaims < 0.05 * n_words"),
     ("tables", "n_bars > 0.20 * n_words", "n_bars < 0.02 * n_words"),
     ("lines", "n_dup_lines > 0.30 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
-    ("windows", "n_repeat_words > 0.20 * n_words", "n_repeat_words <= 0.05 * n_words"),
+    ("windows", "n_repeat_words > 0.27 * n_words", "n_repeat_words <= 0.05 * n_words"),
     ("common", "n_common < 0.04 * n_words", "n_common > 0.10 * n_words"),
     ("echoes", "n_echoes > 0.15 * n_words", "n_echoes < 0.05 * n_words"),
     ("lengths", "word_chars > 12 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 9 * n_words"),
 )
 #: Starting probabilities of a vote (bad, none, good) by good and by bad documents, and of a good document.
-START_GOOD, START_BAD, START_SHARE = (0.01, 0.09, 0.90), (0.40, 0.20, 0.40), 0.85
+START_GOOD, START_BAD, START_SHARE = (0.01, 0.09, 0.90), (0.30, 0.20, 0.50), 0.85
 
 _SPACES = r"[ \x09-\x0D]+"
 

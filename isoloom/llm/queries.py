@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm import bpe, media, ngram_join, packing, quality, suffix_dedup, toxicity
+from isoloom.llm import bpe, chat, media, ngram_join, packing, quality, suffix_dedup, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +28,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(_table(spark, sf_dir, "conversations"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
 
@@ -48,9 +52,10 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op4_bpe": op4_bpe,
+    "op5_chat_pairs": op5_chat_pairs,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.oracle_sql(), "op5_chat_pairs": chat.oracle_sql()}
