@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm import bpe, chat, media, ngram_join, packing, quality, suffix_dedup, toxicity
+from isoloom.llm import bpe, chat, media, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(_table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -51,6 +55,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_chat_pairs": op5_chat_pairs,
     "op6_suffix_dedup": op6_suffix_dedup,
