@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm import bpe, chat, media, ngram_join, packing, quality, suffix_dedup, toxicity, warc
+from isoloom.llm import bpe, chat, html_extract, media, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -44,6 +44,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_chat_pairs": op5_chat_pairs,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_html_extract": op8_html_extract,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }

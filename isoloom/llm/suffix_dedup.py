@@ -401,11 +401,11 @@ def covered(locs: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.nd
     return a[first], e[np.append(first[1:], len(a)) - 1]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = SHARD_SEGMENTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, text, marks): every document with the locations of its repeats, as an array or null."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = SHARD_SEGMENTS, shard_bytes: int = SHARD_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, the extra columns, marks): every document with the locations of its repeats."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    found = docs.mapInArrow(lambda it: _anchored(it, length, gram), ANCHORS)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_x_{c}") for c in extra)).where("doc_id IS NOT NULL")
+    found = docs.select("doc_id", "text").mapInArrow(lambda it: _anchored(it, length, gram), ANCHORS)
     compared = found.repartition("h").sortWithinPartitions("h", "s", "doc_id", "loc").mapInArrow(lambda it: _compared(it, most), "kind tinyint, h long, doc_id long, loc long")
     ours = written(compared.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("loc"))).alias("marks"), F.collect_list(F.when(F.col("kind") > 0, F.struct("kind", "h", "loc"))).alias("open")), "repeats")
     texts = docs.join(ours, "doc_id", "left")
@@ -416,7 +416,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     if not ours.where("exists(open, x -> x.kind = 2)").isEmpty():
         edges = edges.unionByName(_crowded(segments.where("kind = 2"), length))
     more = edges.groupBy("doc_id").agg(F.collect_list("loc").alias("more"))
-    return texts.join(more, "doc_id", "left").select("doc_id", "text", F.concat(F.coalesce("marks", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>"))).alias("marks"))
+    return texts.join(more, "doc_id", "left").select("doc_id", "text", *(F.col(f"_x_{c}").alias(c) for c in extra), F.concat(F.coalesce("marks", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>"))).alias("marks"))
 
 
 def _crowded(segments: DataFrame, length: int) -> DataFrame:
@@ -427,6 +427,16 @@ def _crowded(segments: DataFrame, length: int) -> DataFrame:
     return windows.join(first, "w").where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", F.expr(f"shiftleft(a, 20) | {REPEAT} AS loc"))
 
 
+def without(data: bytes | None, marks: pa.Array | None, length: int = LENGTH) -> bytes:
+    """A document's bytes without its repeats."""
+    data = data or b""
+    if marks is None or not len(marks):
+        return data
+    first, end = covered(marks.to_numpy(), length, len(data))
+    bounds = [0, *(x for pair in zip(first.tolist(), end.tolist(), strict=True) for x in pair), len(data)]
+    return b"".join([data[s:e] for s, e in zip(bounds[::2], bounds[1::2], strict=True)])
+
+
 def kept(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each document's bytes without its repeats."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -444,15 +454,12 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, make, kind: pa.DataType
         sizes, removed, spans, out = [], [], [], []
         marks = batch.column("marks")
         for i in range(batch.num_rows):
-            data = batch.column("b")[i].as_py() or b""
-            here = marks[i].values
-            if here is None or not len(here):
-                n, r, k = len(data), 0, 0
-            else:
-                first, end = covered(here.to_numpy(), length, len(data))
-                n, r, k = len(data), int((end - first).sum()), len(first)
-                bounds = [0, *(x for pair in zip(first.tolist(), end.tolist(), strict=True) for x in pair), n]
-                data = b"".join([data[s:e] for s, e in zip(bounds[::2], bounds[1::2], strict=True)])
+            data, here = batch.column("b")[i].as_py() or b"", marks[i].values
+            n, r, k = len(data), 0, 0
+            if here is not None and len(here):
+                first, end = covered(here.to_numpy(), length, n)
+                r, k = int((end - first).sum()), len(first)
+                data = without(data, here, length)
             sizes.append(n)
             removed.append(r)
             spans.append(k)
