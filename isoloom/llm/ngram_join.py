@@ -81,7 +81,7 @@ def document_keys(buf: np.ndarray, offsets: np.ndarray, n: int, frequent: np.nda
         yield k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k
 
 
-def frequent_keys(docs: DataFrame, n: int, most: int = FREQUENT) -> np.ndarray:
+def frequent_keys(docs: DataFrame, n: int, most: int = FREQUENT, times: int = SURVEY_TIMES) -> np.ndarray:
     """Keys of n-grams that recur in many documents, at most `most`; they only steer the order, so an estimate will do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +91,9 @@ def frequent_keys(docs: DataFrame, n: int, most: int = FREQUENT) -> np.ndarray:
         def found() -> pa.RecordBatch:
             every = np.sort(np.concatenate(held))
             edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            times = np.diff(np.append(edge, len(every)))
-            often = times >= SURVEY_TIMES
-            return pa.RecordBatch.from_arrays([pa.array(every[edge[often]].astype(np.int64)), pa.array(times[often])], names=["key", "times"])
+            found_times = np.diff(np.append(edge, len(every)))
+            often = found_times >= times
+            return pa.RecordBatch.from_arrays([pa.array(every[edge[often]].astype(np.int64)), pa.array(found_times[often])], names=["key", "times"])
 
         none = np.zeros(0, K.U)
         for batch in batches:
@@ -107,13 +107,14 @@ def frequent_keys(docs: DataFrame, n: int, most: int = FREQUENT) -> np.ndarray:
         if size:
             yield found()
 
-    times = docs.select("text").mapInArrow(run, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
-    top = times.orderBy(F.desc("times"), "key").limit(most).select("key").toPandas()
+    table = docs.select("text").mapInArrow(run, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
+    top = table.orderBy(F.desc("times"), "key").limit(most).select("key").toPandas()
     return np.sort(top["key"].to_numpy().astype(K.U))
 
 
 def _product(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int = LONG) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key in; pair counts of short columns (kind 0) and the rows of long ones (kind 1) out."""
+    """Rows sorted by key in; out: pair counts of short columns (kind 0), the rows of long ones (kind 1), and how many
+    columns a hot document has for itself (kind 2)."""
     names = ["kind", "a", "b", "a_size", "b_size", "n"]
 
     def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -146,10 +147,11 @@ def _product(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int =
                 if len(left):
                     yield np.stack([left[:, 1], right[:, 1], left[:, 2], right[:, 2], np.ones(len(left), np.int64)], axis=1)
 
-    rest, open_key = np.zeros((0, 3), np.int64), None
+    lonely: dict[int, int] = {}
+    rest, open_key = np.zeros((0, 4), np.int64), None
     for batch in _with_end(batches):
         if batch is not None:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc_id", "size")], axis=1)
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc_id", "size", "hot")], axis=1)
             rest = np.concatenate([rest, rows])
         if not len(rest):
             continue
@@ -159,11 +161,14 @@ def _product(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int =
             edge = np.flatnonzero(np.concatenate([[True], now[1:, 0] != now[:-1, 0]]))
             counts = np.diff(np.append(edge, len(now)))
             if now[0, 0] == open_key:
-                counts[0] = max(counts[0], most + 1)
+                counts[0] = max(counts[0], most + 1)  # its first rows have gone out
             long = np.repeat(counts > most, np.diff(np.append(edge, len(now))))
             if long.any():
                 x = now[long]
                 yield out(1, x[:, 0], x[:, 1], x[:, 2], x[:, 2], np.zeros(len(x)))
+            alone = now[edge[counts == 1]]
+            for doc, n in zip(*np.unique(alone[alone[:, 3] > 0, 1], return_counts=True), strict=True):
+                lonely[int(doc)] = lonely.get(int(doc), 0) + int(n)
             for made in squared(now, edge, counts):
                 pairs.append(made)
                 held += len(made)
@@ -179,6 +184,9 @@ def _product(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int =
             rest = rest[:0]
     if held:
         yield out(0, *summed().T)
+    if lonely:
+        none = np.zeros(len(lonely), np.int64)
+        yield out(2, np.array(list(lonely)), none, none, none, np.array(list(lonely.values())))
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -235,11 +243,11 @@ def classes(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, prefix binary")
 
 
-def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int = LONG, block: int = BLOCK) -> DataFrame:
+def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int = LONG, block: int = BLOCK, survey: int = SURVEY_TIMES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links need a similarity of num / den."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    frequent = spark.sparkContext.broadcast(frequent_keys(docs, n))
+    frequent = spark.sparkContext.broadcast(frequent_keys(docs, n, times=survey))
     table = written(classes(docs, n, num, den, frequent), "sets")
     rows = table.select("doc_id", "n_shingles", "d1", "d2")
     full = rows.where("n_shingles > 0")
@@ -250,20 +258,25 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
         for batch in batches:
             keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("prefix")]
             counts = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), counts)), pa.array(np.repeat(batch.column("n_shingles").to_numpy(), counts).astype(np.int32))], names=["key", "doc_id", "size"])
+            hot = [len(k) > 0 and bool(k[-1] >> 62 & 1) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), counts)), pa.array(np.repeat(batch.column("n_shingles").to_numpy(), counts).astype(np.int32)), pa.array(np.repeat(np.array(hot, bool), counts))], names=["key", "doc_id", "size", "hot"])
 
-    incidence = chosen.mapInArrow(exploded, "key long, doc_id long, size int")
+    incidence = chosen.mapInArrow(exploded, "key long, doc_id long, size int, hot boolean")
     known = F.col("key").bitwiseAND(1 << 62) != 0  # frequent n-grams: their columns are long, and are not gathered
     blocks = incidence.where(~known).repartition("key").sortWithinPartitions("key")
     product = written(blocks.mapInArrow(lambda it: _product(it, num, den, long), PAIRS), "product")
     short = product.where("kind = 0").select("a", "b", "a_size", "b_size", "n")
     column = product.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("a_size").alias("size"))
-    column = written(column.unionByName(incidence.where(known).withColumn("size", F.col("size").cast("long"))), "columns")
-    fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
+    # A document whose prefix reaches the frequent n-grams has all its others in the prefix. What only one of
+    # two such documents holds there counts against them: `own` is what a document shares with nobody.
+    own = product.where("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("own"))
+    column = column.withColumn("own", F.lit(0).cast("long")).unionByName(incidence.where(known).select("key", "doc_id", F.col("size").cast("long").alias("size")).join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).select("key", "doc_id", "size", "own"))
+    column = written(column, "columns")
+    able = lambda x, u, y, v: F.least(x - u, y - v) * den >= F.greatest(x + v, y + u) * num
 
     # Long columns: each document against the column's smallest that it shares most with.
-    heads = column.groupBy("key").agg(F.min_by(F.struct("doc_id", "size"), F.col("doc_id")).alias("head"))
-    stars = column.join(heads, "key").where((F.col("doc_id") != F.col("head.doc_id")) & fits(F.col("size"), F.col("head.size")))
+    heads = column.groupBy("key").agg(F.min_by(F.struct("doc_id", "size", "own"), F.struct("own", "doc_id")).alias("head"))
+    stars = column.join(heads, "key").where((F.col("doc_id") != F.col("head.doc_id")) & able(F.col("size"), F.col("own"), F.col("head.size"), F.col("head.own")))
     stars = stars.groupBy("doc_id", "head.doc_id").agg(F.count("*").alias("n")).toDF("b", "a", "n")
     stars = written(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "stars")
     links = None
@@ -275,14 +288,14 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
         several = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
         open_ = marked.join(several, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         # Block (i, j) of a column holds parts i and j; pairs within a part are formed in (i, i).
-        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "size", "component")
+        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "size", "own", "component")
         across = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _across(it, num, den), "a long, b long, a_size long, b_size long, n long")
         pairs = short.unionByName(across)
     totals = pairs.groupBy("a", "b").agg(F.max("a_size").alias("x"), F.max("b_size").alias("y"), F.sum("n").alias("n"))
     needed = F.expr(f"({num} * (x + y) + {num + den - 1}) div {num + den}")
     rest = lambda c: F.expr(f"({num} * {c} + {den - 1}) div {den} - 1")
-    able = written(totals.where(F.col("n") + F.least(rest("x"), rest("y")) >= needed).select("a", "b"), "able")
-    found = verified(docs, able, n, num, den, frequent)
+    likely = written(totals.where(F.col("n") + F.least(rest("x"), rest("y")) >= needed).select("a", "b"), "likely")
+    found = verified(docs, likely, n, num, den, frequent)
     links = written(found if links is None else found.unionByName(links), "links")
     label = components(links).select(F.col("node").alias("leader"), "component")
     named = leaders.join(label, "leader", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "leader").alias("component_id"))
@@ -290,9 +303,9 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
 
 
 def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across components in each block of a long column, a count of one each."""
-    names = ["key", "i", "j", "part", "doc_id", "size", "component"]
-    rest = np.zeros((0, 7), np.int64)
+    """Pairs across components in each block of a long column that their sizes allow, a count of one each."""
+    names = ["key", "i", "j", "part", "doc_id", "size", "own", "component"]
+    rest = np.zeros((0, len(names)), np.int64)
     for batch in _with_end(batches):
         if batch is not None:
             rest = np.concatenate([rest, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], axis=1)])
@@ -305,14 +318,14 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
             block = rest[s:e]
             i, j = block[0, 1:3]
             left, right = block[block[:, 3] == i], block[block[:, 3] == j]
+            a, u, c = (left[:, k, None] for k in (5, 6, 7))
+            b, v, d = (right[:, k] for k in (5, 6, 7))
+            fits = (c != d) & (np.minimum(a - u, b - v) * den >= num * np.maximum(a + v, b + u))
             if i == j:
-                p, q = np.triu_indices(len(left), 1)
-            else:
-                p, q = (x.ravel() for x in np.indices((len(left), len(right))))
-            x, y = left[p], right[q]
-            keep = (x[:, 6] != y[:, 6]) & (np.minimum(x[:, 5], y[:, 5]) * den >= num * np.maximum(x[:, 5], y[:, 5]))
-            x, y = x[keep], y[keep]
-            swap = x[:, 4] > y[:, 4]
+                fits = np.triu(fits, 1)
+            p, q = np.nonzero(fits)
+            x, y = left[p][:, [4, 5]], right[q][:, [4, 5]]
+            swap = x[:, 0] > y[:, 0]
             x[swap], y[swap] = y[swap], x[swap].copy()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[:, 4], y[:, 4], x[:, 5], y[:, 5], np.ones(len(x), np.int64))], names=["a", "b", "a_size", "b_size", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (x[:, 0], y[:, 0], x[:, 1], y[:, 1], np.ones(len(x), np.int64))], names=["a", "b", "a_size", "b_size", "n"])
         rest = rest[edge[done] :] if done < len(edge) else rest[:0]
