@@ -21,8 +21,8 @@ Components come from operators.components; no links, sets or labels reach the dr
 only sees the frequent n-grams, at most FREQUENT of them, which set the order.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
-fewer words than n make one n-gram of all of them; repeated rows of a doc_id count as one row (the
-result has one row per doc_id); a null doc_id takes no part; an empty table gives no rows; further
+fewer words than n make one n-gram of all of them; doc_id names a text, and rows that repeat it give
+repeated rows; a null doc_id takes no part; an empty table gives no rows; further
 columns are ignored.
 """
 

@@ -21,9 +21,8 @@ An anchor with more than SHARD_SEGMENTS differing segments doesn't fit a shard;
 compared by digest in a plain aggregation instead, and nothing is dropped.
 
 Defined results: a null or empty text has nothing to remove; texts shorter than `length` are left
-whole; of repeated rows of a doc_id the first row in an arbitrary but fixed order keeps its text
-and the others repeat it only if they differ in doc_id, so doc_id must be unique (it is checked
-nowhere); a null doc_id takes no part; an empty table gives no rows; further columns are ignored.
+whole; doc_id names a text, so rows that repeat a doc_id are one text and give repeated rows;
+a null doc_id takes no part; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -285,6 +284,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
     def united() -> pa.RecordBatch:
         rows = np.concatenate(held)
         rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
         again = np.zeros(len(rows), bool)
         again[1:] = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
         rows[again, 3] |= REPEAT
@@ -323,6 +323,7 @@ def _compared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         rows = rows[~marked]
         kinds = [np.zeros(len(found[0]), np.int8)]
         if len(rows):
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
             again = rows[~new]
@@ -345,6 +346,8 @@ def _with_end(batches: Iterator) -> Iterator:
 
 def shard_repeats(docs: np.ndarray, locs: np.ndarray, segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a shard's segments, the runs of windows that also start earlier: doc_ids and locations."""
+    _, once = np.unique(np.stack([docs, locs]), axis=1, return_index=True)
+    docs, locs, segments = docs[once], locs[once], [segments[i] for i in once.tolist()]
     sizes = np.array([len(s) for s in segments])
     text = np.frombuffer(b"".join(segments), np.uint8)
     base = np.cumsum(sizes) - sizes
