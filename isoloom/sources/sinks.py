@@ -54,18 +54,19 @@ def isoform_summary(isoforms: DataFrame) -> DataFrame:
     return _counted(isoforms).orderBy("cluster_id", "parent").select("cluster_id", "isoform_id", "n_reads", F.length("consensus").alias("length"))
 
 
-_ALT = F.when(F.col("alt_start"), " alt_start=1").otherwise("")
+def _alt() -> Column:
+    return F.when(F.col("alt_start"), " alt_start=1").otherwise("")
 
 
 def isoform_fasta(isoforms: DataFrame) -> DataFrame:
     """One record a row: header and sequence."""
     variants = F.when(F.col("n_variants") > 0, F.concat(F.lit(" start_variants="), F.col("n_variants").cast("string"))).otherwise("")
-    head = F.concat(F.lit(">"), F.col("isoform_id"), F.lit(" reads="), F.col("n_reads").cast("string"), F.lit(" len="), F.length("consensus").cast("string"), variants, _ALT)
+    head = F.concat(F.lit(">"), F.col("isoform_id"), F.lit(" reads="), F.col("n_reads").cast("string"), F.lit(" len="), F.length("consensus").cast("string"), variants, _alt())
     return _counted(isoforms).orderBy("cluster_id", "parent").select(F.concat_ws("\n", head, "consensus").alias("value"))
 
 
 def start_variant_fasta(isoforms: DataFrame) -> DataFrame:
-    head = F.concat(F.lit(">"), F.col("variant_id"), F.lit(" variant_of="), F.col("isoform_id"), F.lit(" start_offset="), F.format_string("%+d", F.col("start_offset")), F.lit(" reads="), F.size("members").cast("string"), F.lit(" len="), F.length("consensus").cast("string"), _ALT)
+    head = F.concat(F.lit(">"), F.col("variant_id"), F.lit(" variant_of="), F.col("isoform_id"), F.lit(" start_offset="), F.format_string("%+d", F.col("start_offset")), F.lit(" reads="), F.size("members").cast("string"), F.lit(" len="), F.length("consensus").cast("string"), _alt())
     return labelled(isoforms).where("variant_id IS NOT NULL").orderBy("cluster_id", "parent", "k").select(F.concat_ws("\n", head, "consensus").alias("value"))
 
 
