@@ -10,12 +10,14 @@ reaches the threshold, tested in whole numbers. The product is never made whole:
   n-grams. The order puts the longest n-grams first, as they are rare, and known frequent ones
   last; any order gives the same links.
 * The product of a block adds up, for each pair of documents, the n-grams shared in the prefixes.
-  A pair whose count, with all that lies behind the shorter rest, stays below what the two sizes
-  require is discarded; the others are counted over their whole sets.
+  What two documents share beyond lies behind the prefix that ends first, so a pair whose count,
+  with the larger rest, stays below what the two sizes require is discarded; the others are
+  counted over their whole sets.
 * A column with more than LONG documents is not squared. Each of its documents is first compared
-  with the column's smallest; components of those links are contracted, and only pairs across
-  components are then formed, in blocks of the column. So a group of near copies costs its size,
-  and nothing is dropped.
+  with the column's head; components of those links are contracted. Columns with the same head are
+  then multiplied together in blocks of documents, and only pairs across components whose counts
+  can still be enough leave the block. So a group of near copies costs its size, and nothing is
+  dropped.
 
 Components come from operators.components; no links, sets or labels reach the driver. The driver
 only sees the frequent n-grams, at most FREQUENT of them, which set the order.
@@ -268,11 +270,12 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
     short = product.where("kind = 0").select("a", "b", "a_size", "b_size", "n")
     column = product.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("a_size").alias("size"))
     # A document whose prefix reaches the frequent n-grams has all its others in the prefix. What only one of
-    # two such documents holds there counts against them: `own` is what a document shares with nobody.
+    # two such documents holds there counts against them: `own` is what a document shares with nobody, -1
+    # where that is not known.
     own = product.where("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("own"))
-    column = column.withColumn("own", F.lit(0).cast("long")).unionByName(incidence.where(known).select("key", "doc_id", F.col("size").cast("long").alias("size")).join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).select("key", "doc_id", "size", "own"))
+    column = column.withColumn("own", F.lit(-1).cast("long")).unionByName(incidence.where(known).select("key", "doc_id", F.col("size").cast("long").alias("size")).join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).select("key", "doc_id", "size", "own"))
     column = written(column, "columns")
-    able = lambda x, u, y, v: F.least(x - u, y - v) * den >= F.greatest(x + v, y + u) * num
+    able = lambda x, u, y, v: F.least(x - F.greatest(u, F.lit(0)), y - F.greatest(v, F.lit(0))) * den >= F.greatest(x + F.greatest(v, F.lit(0)), y + F.greatest(u, F.lit(0))) * num
 
     # Long columns: each document against the column's smallest that it shares most with.
     heads = column.groupBy("key").agg(F.min_by(F.struct("doc_id", "size", "own"), F.struct("own", "doc_id")).alias("head"))
@@ -284,17 +287,19 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
     if not stars.isEmpty():
         links = written(verified(docs, stars, n, num, den, frequent), "links")
         label = components(links).select(F.col("node").alias("doc_id"), "component")
-        marked = column.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        several = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
-        open_ = marked.join(several, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        # Block (i, j) of a column holds parts i and j; pairs within a part are formed in (i, i).
-        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "size", "own", "component")
-        across = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _across(it, num, den), "a long, b long, a_size long, b_size long, n long")
+        # Columns with the same head are multiplied together: a document is there once, with its n-grams.
+        marked = column.join(heads.select("key", F.col("head.doc_id").alias("head")), "key")
+        held = marked.groupBy("head", "doc_id").agg(F.max("size").alias("size"), F.max("own").alias("own"), F.collect_set("key").alias("keys")).join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = held.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("head", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
+        open_ = held.join(several, "head").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        # Block (i, j) of a head holds parts i and j; pairs within a part are formed in (i, i).
+        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("head", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "size", "own", "component", "keys")
+        across = dealt.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j").mapInArrow(lambda it: _across(it, num, den), "a long, b long, a_size long, b_size long, n long")
         pairs = short.unionByName(across)
     totals = pairs.groupBy("a", "b").agg(F.max("a_size").alias("x"), F.max("b_size").alias("y"), F.sum("n").alias("n"))
     needed = F.expr(f"({num} * (x + y) + {num + den - 1}) div {num + den}")
     rest = lambda c: F.expr(f"({num} * {c} + {den - 1}) div {den} - 1")
-    likely = written(totals.where(F.col("n") + F.least(rest("x"), rest("y")) >= needed).select("a", "b"), "likely")
+    likely = written(totals.where(F.col("n") + F.greatest(rest("x"), rest("y")) >= needed).select("a", "b"), "likely")
     found = verified(docs, likely, n, num, den, frequent)
     links = written(found if links is None else found.unionByName(links), "links")
     label = components(links).select(F.col("node").alias("leader"), "component")
@@ -302,30 +307,63 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
     return rows.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], together: int = 4096) -> np.ndarray:
+    """The product of two blocks of the incidence: n-grams that each left row shares with each right row."""
+    names = np.unique(np.concatenate([*left, *right]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(names), together):
+        some = names[lo : lo + together]
+        sides = []
+        for rows in (left, right):
+            dense = np.zeros((len(rows), len(some)), np.float32)
+            for i, keys in enumerate(rows):
+                at = np.searchsorted(some, keys)
+                at = at[(at < len(some)) & (some[np.minimum(at, len(some) - 1)] == keys)]
+                dense[i, at] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
 def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across components in each block of a long column that their sizes allow, a count of one each."""
-    names = ["key", "i", "j", "part", "doc_id", "size", "own", "component"]
-    rest = np.zeros((0, len(names)), np.int64)
+    """For each block, the pairs across components whose shared n-grams, with all that may be shared elsewhere, can be enough."""
+    names = ["head", "i", "j", "part", "doc_id", "size", "own", "component"]
+    rest, lists = np.zeros((0, len(names)), np.int64), []
+
+    def pairs(block: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
+        i, j = block[0, 1:3]
+        p, q = np.flatnonzero(block[:, 3] == i), np.flatnonzero(block[:, 3] == j)
+        left, right = block[p], block[q]
+        a, u, c = (left[:, k, None] for k in (5, 6, 7))
+        b, v, d = (right[:, k] for k in (5, 6, 7))
+        known = (u >= 0) & (v >= 0)
+        u, v = np.where(known, u, 0), np.where(known, v, 0)
+        able = (c != d) & (np.minimum(a - u, b - v) * den >= num * np.maximum(a + v, b + u))
+        if i == j:
+            able = np.triu(able, 1)
+        here = np.array([len(k) for k in keys], np.int64)
+        if able.any():
+            n = shared_counts([keys[x] for x in p], [keys[x] for x in q])
+            spare = np.minimum(prefix_length(a, num, den) - u - here[p, None], prefix_length(b, num, den) - v - here[q])
+            beyond = np.maximum(a - prefix_length(a, num, den), b - prefix_length(b, num, den))
+            able &= (n > 0) & (n + spare + beyond >= need(a, b, num, den))
+        p, q = np.nonzero(able)
+        x, y = left[p][:, [4, 5]], right[q][:, [4, 5]]
+        swap = x[:, 0] > y[:, 0]
+        x[swap], y[swap] = y[swap], x[swap].copy()
+        total = n[p, q] if len(p) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in (x[:, 0], y[:, 0], x[:, 1], y[:, 1], total)], names=["a", "b", "a_size", "b_size", "n"])
+
     for batch in _with_end(batches):
         if batch is not None:
             rest = np.concatenate([rest, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], axis=1)])
+            lists.extend(k.values.to_numpy() for k in batch.column("keys"))
         if not len(rest):
             continue
         edge = np.flatnonzero(np.concatenate([[True], (rest[1:, :3] != rest[:-1, :3]).any(axis=1)]))
         ends = np.append(edge[1:], len(rest))
         done = len(edge) if batch is None else len(edge) - 1
-        for s, e in zip(edge[:done], ends[:done], strict=True):
-            block = rest[s:e]
-            i, j = block[0, 1:3]
-            left, right = block[block[:, 3] == i], block[block[:, 3] == j]
-            a, u, c = (left[:, k, None] for k in (5, 6, 7))
-            b, v, d = (right[:, k] for k in (5, 6, 7))
-            fits = (c != d) & (np.minimum(a - u, b - v) * den >= num * np.maximum(a + v, b + u))
-            if i == j:
-                fits = np.triu(fits, 1)
-            p, q = np.nonzero(fits)
-            x, y = left[p][:, [4, 5]], right[q][:, [4, 5]]
-            swap = x[:, 0] > y[:, 0]
-            x[swap], y[swap] = y[swap], x[swap].copy()
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (x[:, 0], y[:, 0], x[:, 1], y[:, 1], np.ones(len(x), np.int64))], names=["a", "b", "a_size", "b_size", "n"])
-        rest = rest[edge[done] :] if done < len(edge) else rest[:0]
+        for s, e in zip(edge[:done].tolist(), ends[:done].tolist(), strict=True):
+            yield pairs(rest[s:e], lists[s:e])
+        cut = int(edge[done]) if done < len(edge) else len(rest)
+        rest, lists = rest[cut:], lists[cut:]
