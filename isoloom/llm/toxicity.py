@@ -109,7 +109,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     pairs = np.unique(np.concatenate([np.unique(doc_of[sentence] << BUCKET_BITS | b) for b in words]))
     seen = np.bincount(pairs & low, minlength=1 << BUCKET_BITS)
     hits = np.bincount(pairs & low, y[pairs >> BUCKET_BITS], 1 << BUCKET_BITS)
-    worth = (seen >= max(2, len(y) // 800)) & (hits > 2 * y.mean() * seen)
+    worth = (seen >= max(2, len(y) // 200)) & (hits > min(0.5, 3 * y.mean()) * seen)
     once = np.unique(np.concatenate([np.unique(sentence[k] << BUCKET_BITS | b[k]) for b in words for k in [worth[b]]]))
     sentence, words = once >> BUCKET_BITS, once & low
     used, words = np.unique(words, return_inverse=True)

@@ -119,22 +119,23 @@ def test_queries_against_sql(spark, name):
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     text = {r.doc_id: r.text for r in docs.collect()}
     ids = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         docs = stage(spark, docs, sf)
         assert docs.columns == list(corpus_pipeline.COLUMNS)
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        ids.append({r.doc_id for r in docs.collect()})
+        rows = docs.collect()
+        ids.append({r.doc_id for r in rows})
+        assert len(rows) == len(ids[-1]) and (i == 3 or all(r.text == text[r.doc_id] for r in rows))
+        docs = spark.createDataFrame(rows, docs.schema)
     toxic = {i for i, r in labels.items() if r.toxic}
-    assert not toxic & ids[0] or len(toxic & ids[0]) <= 0.2 * len(toxic)
     clean = {i for i, r in labels.items() if r.quality and not r.toxic and len(text[i].split()) >= 20}
-    assert clean <= ids[0] and len(clean - ids[1]) <= 0.02 * len(clean)
-    kept = {text[i] for i in ids[2]}
-    assert len(kept) == len(ids[2]) and kept == {text[i] for i in ids[1]} - ({text[i] for i in ids[1]} - kept)
+    assert len(toxic & ids[0]) <= 0.2 * len(toxic) and len(clean - ids[0]) <= 0.01 * len(clean)
+    assert len((clean & ids[0]) - ids[1]) <= 0.02 * len(clean)
+    assert len({text[i] for i in ids[2]}) == len(ids[2]) and ids[3] == ids[2] <= ids[1] <= ids[0]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in packed} == ids[3]
 
