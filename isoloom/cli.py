@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--emit-assignments", action="store_true")
     _options(p, IsoformOptions, ("library",), {"k": "iso_k", "w": "iso_w"})
     p.add_argument("--dump-clusters", action="store_true")
+    p.add_argument("--dump-starts", default=None)
     _options(f, IsoformOptions, ("library",))
     f.add_argument("--reads", required=True)
     f.add_argument("--clusters", required=True)
@@ -66,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "cluster":
         pipeline.cluster(spark, args.reads, args.out, co, args.emit_assignments)
     elif args.command == "predict":
-        pipeline.predict(spark, args.reads, args.out, co, io, args.min_size, args.max_size, args.dump_clusters)
+        pipeline.predict(spark, args.reads, args.out, co, io, args.min_size, args.max_size, args.dump_clusters, args.dump_starts)
     else:
         pipeline.find_isoforms(spark, args.reads, args.clusters, args.out, io, args.only_clusters, args.min_size, args.max_size)
     return 0

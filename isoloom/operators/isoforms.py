@@ -61,7 +61,12 @@ def start_stats(placed: DataFrame, o: IsoformOptions) -> DataFrame:
 
 
 def library(stats: DataFrame, o: IsoformOptions):
-    """The library's decision from the groups' statistics.
+    """The library's decision from the groups' statistics."""
+    return library_stats(stats).library(o)
+
+
+def library_stats(stats: DataFrame) -> ends.StartStats:
+    """The groups' statistics in one.
 
     The driver collects distinct pairs of candidate values while there are at most MOST_PAIRS;
     beyond, values are rounded to a grid of that order, fine enough for the cuts in hundredths.
@@ -78,7 +83,7 @@ def library(stats: DataFrame, o: IsoformOptions):
     stops = stats.select(F.explode("stop_fractions").alias("v")).groupBy(F.least(F.floor(F.col("v").cast("double") * 100), F.lit(99)).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("v"))
     for r in stops.collect():
         out.stop_fractions += [r["v"]] * r["n"]
-    return out.library(o)
+    return out
 
 
 def detected(placed: DataFrame, o: IsoformOptions) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoloom.operators import cluster as C
-from isoloom.operators.isoforms import isoforms
+from isoloom.operators.diagnostics import library_line, start_dump
+from isoloom.operators.isoforms import isoforms, library_stats, placements, start_stats
 from isoloom.options import ClusterOptions, IsoformOptions
 from isoloom.runtime import written
 from isoloom.sources import reads as R
@@ -22,9 +25,27 @@ def cluster(spark: SparkSession, path: str, out: str, o: ClusterOptions = Cluste
     S.save(S.cluster_histogram(clusters), f"{out}/cluster_size_hist.tsv")
     if emit_assignments:
         S.save(S.cluster_assignments(clusters, table), f"{out}/assignments.tsv")
+    print(report(clusters, facts, o))
     return clusters
 
 
+def report(clusters: DataFrame, facts: dict, o: ClusterOptions) -> str:
+    """A clustering in a few lines."""
+    s = C.size_summary(clusters).first()
+    many = s["multi_read_clusters"]
+    top = [str(r["cluster_size"]) for r in C.top_sizes(clusters, 12).collect()]
+    return "\n".join(
+        (
+            f"reads={facts['reads']}  k={o.k} s={o.s} L1..{o.levels}  band=[{o.min_occ},{facts['max_occ']}]  weights={list(o.level_weights)}  min_shared={o.min_shared}  min_shared_frac={o.min_shared_frac}",
+            f"distinct seeds={facts['distinct_seeds']}  informative={facts['informative_seeds']}",
+            f"clusters={s['clusters']}  (singletons={s['singleton_clusters']}, multi={many})",
+            f"reads in multi-read clusters: {s['reads_in_multi']} ({100 * s['reads_in_multi'] / max(s['reads'], 1):.1f}%)",
+            f"largest cluster={s['largest_cluster']}  mean(multi)={s['reads_in_multi'] / max(many, 1):.1f}",
+            f"top sizes: {', '.join(top)}",
+        )
+    )
+
+
 def _write(found: DataFrame, table: DataFrame, out: str) -> None:
     S.save(S.isoform_assignments(found, table), f"{out}/isoform_assignments.tsv")
     S.save(S.isoform_summary(found), f"{out}/isoform_summary.tsv")
@@ -33,7 +54,7 @@ def _write(found: DataFrame, table: DataFrame, out: str) -> None:
     S.save(S.start_variant_assignments(found, table), f"{out}/start_variant_assignments.tsv")
 
 
-def predict(spark: SparkSession, path: str, out: str, co: ClusterOptions = ClusterOptions(), io: IsoformOptions = IsoformOptions(), min_size: int = 1, max_size: int | None = None, dump_clusters: bool = False) -> DataFrame:
+def predict(spark: SparkSession, path: str, out: str, co: ClusterOptions = ClusterOptions(), io: IsoformOptions = IsoformOptions(), min_size: int = 1, max_size: int | None = None, dump_clusters: bool = False, dump_starts: str | None = None) -> DataFrame:
     """Clustering, then isoforms of every cluster within the size range."""
     table = written(R.load(spark, path, co.max_reads), "reads")
     clusters = written(C.clustered(table, co)[0], "clusters")
@@ -41,6 +62,12 @@ def predict(spark: SparkSession, path: str, out: str, co: ClusterOptions = Clust
         S.save(S.gene_clusters(clusters, table), f"{out}/gene_clusters.tsv")
     chosen = C.eligible(clusters, min_size, max_size).select("cluster_id")
     members = written(clusters.join(chosen, "cluster_id", "left_semi").join(table, "read_idx").select("cluster_id", "read_idx", "seq"), "members")
+    if dump_starts:
+        placed = written(placements(members, io), "placed").join(table.select("read_idx", "seq", "name"), "read_idx")
+        stats = library_stats(start_stats(placed, io))
+        decided = stats.library(io)
+        lines = start_dump(placed, replace(io, library=decided)).unionByName(spark.createDataFrame([(None, "library", library_line(stats, decided))], "cluster_id long, kind string, value string"))
+        S.save(lines.orderBy("kind", "cluster_id", "value").select("value"), dump_starts)
     found = isoforms(members, io)
     _write(found, table, out)
     return found

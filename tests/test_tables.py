@@ -128,13 +128,14 @@ def test_commands_write_their_files(spark, tmp_path):
     reads_file = tmp_path / "reads.fq"
     reads_file.write_text("".join(f"@{r.name}\n{r.seq}\n+\n{'I' * r.len}\n" for r in reads(spark, SF).orderBy("read_idx").collect()))
     out = tmp_path / "out"
-    found = pipeline.predict(spark, str(reads_file), f"file://{out}", dump_clusters=True)
+    found = pipeline.predict(spark, str(reads_file), f"file://{out}", dump_clusters=True, dump_starts=f"file://{out}/starts")
     lines = lambda name: [x for p in sorted((out / name).glob("part-*")) for x in p.read_text().splitlines()]
     assert lines("isoform_summary.tsv")[0] == "cluster_id\tisoform_id\tn_reads\tlength"
     assert sum(x.startswith(">") for x in lines("isoforms.fasta")) == found.where("variant_of IS NULL").count() == len(lines("isoform_summary.tsv")) - 1
     total = sum(int(x.split("\t")[2]) for x in lines("isoform_summary.tsv")[1:])
     assert len(lines("isoform_assignments.tsv")) - 1 == total
     assert len(lines("gene_clusters.tsv")) == 129
+    assert {x.split("\t")[0] for x in lines("starts")} >= {"group", "library"}
     table = tmp_path / "clusters.tsv"
     table.write_text("\n".join("\t".join(x.split("\t")[:2]) for x in lines("gene_clusters.tsv")))
     again = pipeline.find_isoforms(spark, str(reads_file), str(table), f"file://{tmp_path}/again", IsoformOptions(start_split="off"))
@@ -146,6 +147,14 @@ def test_commands_write_their_files(spark, tmp_path):
     assert stop.value.code == 2
 
 
+def test_placement_counts(spark):
+    from isoloom.operators.diagnostics import placement_counts
+
+    members = reads(spark, SF).selectExpr("true_gene AS cluster_id", "read_idx", "seq")
+    got = {(r.event, r["class"]): r.n for r in placement_counts(members, IsoformOptions()).collect()}
+    assert got["placements", 0] >= 124 and got["rejected_interior_gap", 0] == got["gap_jumps", 0] > 0
+
+
 def test_start_variant_files(spark):
     found = spark.createDataFrame([(7, 0, "ACGT", False, None, None, [1, 2]), (7, 1, "CGT", True, 0, 1, [3]), (7, 2, "AACGT", False, 0, -1, [4])], "cluster_id long, isoform_index int, consensus string, alt_start boolean, variant_of int, start_offset int, members array<long>")
     names = spark.createDataFrame([(i, f"r{i}") for i in range(5)], "read_idx long, name string")
