@@ -199,8 +199,8 @@ def _with_end(batches: Iterator) -> Iterator:
 PAIRS = "kind tinyint, a long, b long, a_size long, b_size long, n long"
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, frequent) -> DataFrame:
-    """The pairs (a, b) that link, counted over whole sets; each set is made once for its document."""
+def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, keys) of every document in the pairs, made once and written."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +209,13 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, freq
                 packed = [k.tobytes() for k in document_keys(buf, offsets, n, np.zeros(0, K.U))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc_id", "keys"])
 
-    made = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, keys binary")
-    made = written(made.dropDuplicates(["doc_id"]), "sets")
+    # The same plan at every size: the ids grow with the corpus, so they are never broadcast.
+    made = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, keys binary")
+    return written(made.dropDuplicates(["doc_id"]), "sets")
+
+
+def verified(pairs: DataFrame, made: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, counted over whole sets."""
     both = pairs.select("a", "b").join(made.select(F.col("doc_id").alias("a"), F.col("keys").alias("a_keys")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("keys").alias("b_keys")), "b")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +231,13 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, freq
     return both.select("a", "b", "a_keys", "b_keys").mapInArrow(overlap, "a long, b long")
 
 
+def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose documents are in different components."""
+    side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+    joined_ = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined_.where(~F.coalesce("_a", "a").eqNullSafe(F.coalesce("_b", "b"))).drop("_a", "_b")
+
+
 def classes(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFrame:
     """(doc_id, n_shingles, digest of the set as two longs, prefix as packed keys) of every document."""
 
@@ -285,7 +297,7 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
     links = None
     pairs = short
     if not stars.isEmpty():
-        links = written(verified(docs, stars, n, num, den, frequent), "links")
+        links = written(verified(stars, sets_of(docs, stars, n), num, den), "links")
         label = components(links).select(F.col("node").alias("doc_id"), "component")
         # Columns with the same head are multiplied together: a document is there once, with its n-grams.
         marked = column.join(heads.select("key", F.col("head.doc_id").alias("head")), "key")
@@ -299,10 +311,15 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
     totals = pairs.groupBy("a", "b").agg(F.max("a_size").alias("x"), F.max("b_size").alias("y"), F.sum("n").alias("n"))
     needed = F.expr(f"({num} * (x + y) + {num + den - 1}) div {num + den}")
     rest = lambda c: F.expr(f"({num} * {c} + {den - 1}) div {den} - 1")
-    likely = written(totals.where(F.col("n") + F.greatest(rest("x"), rest("y")) >= needed).select("a", "b"), "likely")
-    found = verified(docs, likely, n, num, den, frequent)
-    links = written(found if links is None else found.unionByName(links), "links")
-    label = components(links).select(F.col("node").alias("leader"), "component")
+    likely = written(totals.where(F.col("n") + F.greatest(rest("x"), rest("y")) >= needed).select("a", "b", "n"), "likely")
+    # Each document with the one it shares most with first: what these links join needs no further pair.
+    made = sets_of(docs, likely, n)
+    ends = likely.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "n"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "n"))).alias("e")).select("e.*")
+    nearest = ends.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = verified(nearest, made, num, den)
+    links = written(near if links is None else near.unionByName(links), "links")
+    found = verified(written(apart(likely, components(links)), "apart"), made, num, den)
+    label = components(written(found.unionByName(links), "links")).select(F.col("node").alias("leader"), "component")
     named = leaders.join(label, "leader", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "leader").alias("component_id"))
     return rows.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
