@@ -18,15 +18,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     larger neighbours, then of the smaller ones, until every node points at its component's
     smallest. Both steps are one aggregation with map-side combine and one join on the node, in
     which adaptive execution may split a hub. Each round is written to the shared folder, so a
-    lost executor repeats at most one round. The number of rounds is logarithmic in practice.
+    lost executor repeats at most one round. Edges that repeat are dropped once a round. The number of rounds is logarithmic in practice.
     """
     ab = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now = written(ab.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = written(ab.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     previous = None
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = written(small, "edges")
