@@ -102,6 +102,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS) -> Model:
         return Model(weights, float(np.log(0.001)), prior)
     words, firsts, docs = np.concatenate(words, axis=1), np.concatenate(firsts), np.array(docs)
     # A word counts once in a sentence; a word of few documents says more about them than about toxicity.
+    # What counts as few follows the toxic documents where these are few, or none of their words could take part.
     sentence = np.repeat(np.arange(n_sents), np.diff(np.append(firsts, n_words)))
     doc_of = np.repeat(np.arange(len(y)), np.diff(docs))
     low = (1 << BUCKET_BITS) - 1
@@ -109,7 +110,8 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     pairs = np.unique(np.concatenate([np.unique(doc_of[sentence] << BUCKET_BITS | b) for b in words]))
     seen = np.bincount(pairs & low, minlength=1 << BUCKET_BITS)
     hits = np.bincount(pairs & low, y[pairs >> BUCKET_BITS], 1 << BUCKET_BITS)
-    worth = (seen >= max(2, len(y) // 200)) & (hits > min(0.5, 3 * y.mean()) * seen)
+    few = max(2, min(len(y) // 200, int(y.sum()) // 10))
+    worth = (seen >= few) & (hits >= 2) & (hits > min(0.5, 3 * y.mean()) * seen)
     once = np.unique(np.concatenate([np.unique(sentence[k] << BUCKET_BITS | b[k]) for b in words for k in [worth[b]]]))
     sentence, words = once >> BUCKET_BITS, once & low
     used, words = np.unique(words, return_inverse=True)

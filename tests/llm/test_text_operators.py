@@ -258,6 +258,20 @@ def test_toxicity_learns_a_word_and_finds_its_sentence(spark):
     assert all(x.predicted == 0 for x in toxicity.scored(docs, none).collect())
 
 
+def test_toxicity_learns_words_of_rare_labels():
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(12)) for _ in range(2400)]
+    toxic = np.zeros(2400, bool)
+    toxic[::300] = True
+    texts = [t + " scoundrel here" if y else t for t, y in zip(texts, toxic, strict=True)]
+    model = toxicity.fit(pa.array(texts, pa.large_string()), toxic)
+    _, _, buf, offsets = next(iter(textkernel.text_chunks(pa.array(texts, pa.large_string()))))
+    buckets, first, bounds, _, _ = toxicity.sentences(buf, offsets)
+    flagged = toxicity.noisy_or(model, buckets, first, bounds)[0] >= toxicity.THRESHOLD
+    assert (flagged == toxic[: len(flagged)]).all()
+
+
 # ---- media ----
 
 
