@@ -27,7 +27,7 @@ from isoloom.runtime import prepare
 BUCKET_BITS = 18
 #: Labelled documents the model is fitted on at most: the first in the order of a hash of doc_id.
 SAMPLE_ROWS = 4000
-#: Bytes of text of that sample at most, taken in the same order.
+#: Bytes of text of that sample at most, taken in the same order; a text that does not fit is passed over.
 SAMPLE_BYTES = 48_000_000
 EPOCHS = 200
 #: Step of the gradient, and the pull of every weight to zero.
@@ -143,13 +143,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     first, so only their texts are read into the driver.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_b"))
-    sizes = found.select("doc_id", "_b").toPandas()
-    order = sizes.sort_values("doc_id").reset_index(drop=True)
-    fits = order.loc[order["_b"].cumsum() <= sample_bytes, "doc_id"]
-    if len(fits) < len(order):
-        found = found.where(F.col("doc_id") <= F.lit(int(fits.max()) if len(fits) else -1))
+    hashed = F.xxhash64("doc_id")
+    picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("_y")).orderBy(hashed, "doc_id").limit(sample_rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_b"), hashed.alias("_h"))
+    sizes = found.select("doc_id", "_h", "_b").toPandas().groupby(["_h", "doc_id"], as_index=False)["_b"].sum()  # sorted by both
+    fits, total = [], 0
+    for doc, size in zip(sizes["doc_id"].tolist(), sizes["_b"].tolist(), strict=True):
+        if total + size <= sample_bytes:
+            fits.append(doc)
+            total += size
+    if len(fits) < len(sizes):
+        found = found.where(F.col("doc_id").isin(fits))
     rows = found.select("doc_id", "text", "_y").toPandas().sort_values(["doc_id", "text"])
     return fit(pa.array(rows["text"], pa.large_string()), (rows["_y"].to_numpy() > 0), epochs)
 

@@ -272,6 +272,18 @@ def test_toxicity_learns_words_of_rare_labels():
     assert (flagged == toxic[: len(flagged)]).all()
 
 
+def test_toxicity_sample_follows_the_hash_and_passes_over_what_does_not_fit(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()]
+    big = order[1]
+    rows = [(i, f"d{i} ".ljust(1000 if i == big else 100, "x")) for i in ids]
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, epochs: taken.extend(texts.to_pylist()))
+    toxicity.train(table(spark, rows), marks, sample_bytes=500)
+    assert {int(t.split()[0][1:]) for t in taken} == set([i for i in order if i != big][:5])
+
+
 # ---- media ----
 
 
