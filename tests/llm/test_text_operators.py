@@ -135,6 +135,19 @@ def test_ngram_join_against_all_pairs(spark, parameters):
     assert {r[0]: (r[1], r[2]) for r in got} == linked_by_hand(rows, 4, 85, 100)
 
 
+def test_ngram_join_group_headed_by_a_much_longer_document(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(200)]
+    rows = [(0, " ".join([*base, *(f"z{i}" for i in range(60))]))]
+    for i in range(10):
+        words = list(base)
+        words[10 + 18 * i] = f"q{i}"
+        rows.append((1 + i, " ".join(words)))
+    got = {x[0]: (x[1], x[2]) for x in ngram_join.joined(table(spark, rows), 4, 85, 100, long=3).collect()}
+    assert got == linked_by_hand(rows, 4, 85, 100)
+    assert {got[i][1] for i in range(1, 11)} == {1} and got[0][1] == 0
+
+
 def test_ngram_join_empty_and_defaults(spark):
     assert ngram_join.joined(table(spark, [])).collect() == []
     rows = [(5, "a b c d e f g h i j k l"), (3, "A B C D E F G H I J K L"), (4, ""), (6, None)]
