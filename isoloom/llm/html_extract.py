@@ -124,9 +124,9 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, ...]], float]]:
 
 # ---- blocks to vectors ----
 
-PATH_SIZE, WORD_SIZE, SIZES = 96, 24, 8
-SIZE = PATH_SIZE + WORD_SIZE + SIZES
-#: Words of a block that are hashed: parts of pages show at their beginning what they are.
+PATH_SIZE, WORD_SIZE, LEAD_SIZE, SIZES = 96, 24, 24, 8
+SIZE = PATH_SIZE + WORD_SIZE + LEAD_SIZE + SIZES
+#: First words of a block that are hashed once more by themselves: parts of pages often show at their beginning what they are.
 LEAD = 8
 
 
@@ -152,12 +152,13 @@ def vectors(found: list[tuple[str, list[tuple[str, ...]], float]]) -> np.ndarray
         slots = _path_slots(tuple(path))
         at.extend(slots)
         rows.extend([i] * len(slots))
-        words = text[:160].lower().split()[:LEAD]
-        share = 1 / max(3, len(words))
-        for w in words:
-            x[i, PATH_SIZE + _slot(w, WORD_SIZE, 3)] += share
+        words = text.lower().split()
+        for part, start, width in ((words, PATH_SIZE, WORD_SIZE), (words[:LEAD], PATH_SIZE + WORD_SIZE, LEAD_SIZE)):
+            share = 1 / max(3, len(part))
+            for w in part:
+                x[i, start + _slot(w, width, 3)] += share
         size = len(text)
-        x[i, PATH_SIZE + WORD_SIZE :] = (min(1.0, size / 400), min(1.0, size / 60), linked, text[-1] in ".!?", i / len(found), i == 0, len(path) / 10, "\u00a9" in text)
+        x[i, PATH_SIZE + WORD_SIZE + LEAD_SIZE :] = (min(1.0, size / 400), min(1.0, size / 60), linked, text[-1] in ".!?", i / len(found), i == 0, len(path) / 10, "\u00a9" in text)
     x[rows, at] = 1
     return x
 

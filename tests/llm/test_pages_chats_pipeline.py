@@ -7,6 +7,7 @@ import html
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from isoloom.llm import chat, html_extract, queries, warc
@@ -71,6 +72,13 @@ def test_labeller_on_composed_pages():
     assert wrong <= 0.01 * n
 
 
+def test_every_word_of_a_block_reaches_the_labeller():
+    opening = "by continuing to browse this site you agree "
+    for late in (40, 4000):
+        one, two = ([(opening + "word " * late + end, [("div",)], 0.0)] for end in ("cookies.", "harvest."))
+        assert not np.array_equal(html_extract.vectors(one), html_extract.vectors(two))
+
+
 def test_extraction_of_the_sample_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_extract.extracted(rows.withColumn("_html", rows.url)).collect()}
