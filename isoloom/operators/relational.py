@@ -118,7 +118,8 @@ def rank_sums(values: DataFrame, column: str, flag: str) -> DataFrame:
 
 def unique_boundaries(table: DataFrame) -> DataFrame:
     """(read_idx, kmer, pos) of the minimizers that occur once in their read, numbered by position."""
-    one = table.withColumn("n", F.count("*").over(Window.partitionBy("read_idx", "kmer"))).where("n = 1").drop("n")
+    # Dealt by read once: both windows, and what joins on read_idx after them, keep that.
+    one = table.repartition("read_idx").withColumn("n", F.count("*").over(Window.partitionBy("read_idx", "kmer"))).where("n = 1").drop("n")
     return one.withColumn("boundary", F.row_number().over(Window.partitionBy("read_idx").orderBy("pos")) - 1)
 
 
@@ -139,12 +140,17 @@ def helpers(reads: DataFrame, members: DataFrame, keys: list[str], most: int = 1
     return others.withColumn("place", order).where(F.col("place") <= most)
 
 
-def window_votes(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """From (keys, read_idx, boundary, pos, seq): how often each segment fills each window between neighbouring boundaries."""
-    w = Window.partitionBy(*keys, "read_idx").orderBy("boundary")
+def window_votes(hits: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
+    """From (keys, read_idx, boundary, pos) and (read_idx, seq): how often each segment fills each window between neighbouring boundaries.
+
+    A read is in one group. Its sequence meets its hits only once these lie sorted by read_idx, and
+    leaves with the segment cut: no shuffle carries a sequence more than once.
+    """
+    w = Window.partitionBy("read_idx").orderBy("boundary")
     ends_ = hits.withColumn("next", F.lead("boundary").over(w)).withColumn("stop", F.lead("pos").over(w)).where(F.col("next") == F.col("boundary") + 1)
     segment = F.substring("seq", F.col("pos") + 1, F.col("stop") - F.col("pos"))
-    return ends_.withColumn("segment", segment).groupBy(*keys, "boundary", "segment").agg(F.count("*").alias("votes"))
+    cut = ends_.join(reads.select("read_idx", "seq").hint("merge"), "read_idx").select(*keys, "boundary", segment.alias("segment"))
+    return cut.groupBy(*keys, "boundary", "segment").agg(F.count("*").alias("votes"))
 
 
 def modal(votes: DataFrame, keys: list[str], default: Column) -> DataFrame:

@@ -351,10 +351,10 @@ h AS (SELECT r.true_gene, x.read_idx, y.boundary, x.pos, r.seq FROM reads r JOIN
 
 def _hits(spark, sf_dir):
     """Where reads hold a boundary of their gene's longest read, once in both."""
-    r = reads(spark, sf_dir).select("read_idx", "true_gene", "len", "seq")
+    r = reads(spark, sf_dir).select("read_idx", "true_gene", "len")
     back = r.groupBy("true_gene").agg(F.min_by("read_idx", F.struct(-F.col("len"), "read_idx")).alias("read_idx"))
     u = R.unique_boundaries(minimizers(spark, sf_dir))
-    return u.drop("boundary").join(r.drop("len"), "read_idx").join(u.join(back, "read_idx").select("true_gene", "kmer", "boundary"), ["true_gene", "kmer"]).select("true_gene", "read_idx", "boundary", "pos", "seq")
+    return u.drop("boundary").join(r.drop("len"), "read_idx").join(u.join(back, "read_idx").select("true_gene", "kmer", "boundary"), ["true_gene", "kmer"]).select("true_gene", "read_idx", "boundary", "pos")
 
 
 @query(f"""{_HITS}, s AS (SELECT true_gene, read_idx, min(boundary) AS a, max(boundary) AS z FROM h GROUP BY 1, 2), t AS (SELECT true_gene, boundary, count(*) AS support FROM h GROUP BY 1, 2)
@@ -374,13 +374,17 @@ votes AS (SELECT true_gene, boundary, substr(seq, pos + 1, stop - pos) AS segmen
 best AS (SELECT *, row_number() OVER (PARTITION BY true_gene, boundary ORDER BY votes DESC, segment) AS place FROM votes)"""
 
 
+def _votes(spark, sf_dir):
+    return R.window_votes(_hits(spark, sf_dir), reads(spark, sf_dir), ["true_gene"])
+
+
 def _modal(spark, sf_dir):
-    return R.modal(R.window_votes(_hits(spark, sf_dir), ["true_gene"]), ["true_gene"], F.lit(""))
+    return R.modal(_votes(spark, sf_dir), ["true_gene"], F.lit(""))
 
 
 @query(f"{_VOTES} SELECT true_gene, boundary::INT AS boundary, segment, votes FROM votes", MINIMIZERS_SQL)
 def window_votes(spark, sf_dir):
-    return R.window_votes(_hits(spark, sf_dir), ["true_gene"])
+    return _votes(spark, sf_dir)
 
 
 @query(f"{_VOTES} SELECT true_gene, boundary::INT AS boundary, segment, votes FROM best WHERE place = 1", MINIMIZERS_SQL)
