@@ -141,15 +141,16 @@ def helpers(reads: DataFrame, members: DataFrame, keys: list[str], most: int = 1
 
 
 def window_votes(hits: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
-    """From (keys, read_idx, boundary, pos) and (read_idx, seq): how often each segment fills each window between neighbouring boundaries.
+    """From (read_idx, boundary, pos) and (keys, read_idx, seq): how often each segment fills each window between neighbouring boundaries.
 
-    A read is in one group. Its sequence meets its hits only once these lie sorted by read_idx, and
-    leaves with the segment cut: no shuffle carries a sequence more than once.
+    A read is in one group. Its keys and sequence meet its hits only once these lie sorted by
+    read_idx, and the sequence leaves with the segment cut: hits are dealt out as three numbers, and
+    no shuffle carries a sequence more than once.
     """
     w = Window.partitionBy("read_idx").orderBy("boundary")
-    ends_ = hits.withColumn("next", F.lead("boundary").over(w)).withColumn("stop", F.lead("pos").over(w)).where(F.col("next") == F.col("boundary") + 1)
+    ends_ = hits.select("read_idx", "boundary", "pos").withColumn("next", F.lead("boundary").over(w)).withColumn("stop", F.lead("pos").over(w)).where(F.col("next") == F.col("boundary") + 1)
     segment = F.substring("seq", F.col("pos") + 1, F.col("stop") - F.col("pos"))
-    cut = ends_.join(reads.select("read_idx", "seq").hint("merge"), "read_idx").select(*keys, "boundary", segment.alias("segment"))
+    cut = ends_.join(reads.select("read_idx", *keys, "seq").hint("merge"), "read_idx").select(*keys, "boundary", segment.alias("segment"))
     return cut.groupBy(*keys, "boundary", "segment").agg(F.count("*").alias("votes"))
 
 
