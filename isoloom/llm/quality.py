@@ -8,7 +8,9 @@ probability that it is good reaches one half.
 
 All of it is DataFrame and SQL code. Documents are summed up by vote pattern first, so the
 estimation runs over at most 3 ** len(RULES) rows whatever the size of the corpus, in one row's
-higher-order expression; the pattern table, of the same bound, is joined back by broadcast.
+higher-order expression; the pattern table, of the same bound, is joined back by broadcast. The
+starting accuracies count as PRIOR_COUNT documents, so that a rule nobody voted on has a value;
+`accuracies` tells what the votes made of them.
 
 Repeated windows of words are found by a 64-bit hash of each window within its document.
 
@@ -27,8 +29,8 @@ from isoloom.runtime import written
 
 WINDOW = 8
 ITERATIONS = 25
-#: The weight of the starting accuracies, as a share of the documents.
-PRIOR_SHARE = 3.0
+#: The weight of the starting accuracies, in documents: it fades as the corpus grows.
+PRIOR_COUNT = 10.0
 
 #: Common words of English, German, French and Spanish. Fixed values.
 COMMON_WORDS = "the of and to in is that for with was on are it be as at by this from or der die und das von zu den mit sich des auf für ist im dem nicht ein eine le la les de et un une du que est dans qui par pour au sur pas avec el los en y las del se por con para su al lo como más".split()
@@ -92,20 +94,34 @@ def pattern_sql() -> str:
     return " + ".join(f"{3**i} * (CASE WHEN {bad} THEN 0 WHEN {good} THEN 2 ELSE 1 END)" for i, (_, bad, good) in enumerate(RULES))
 
 
-def estimated(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(pattern, posterior) from (pattern, n): the probability that a document of these votes is good."""
+def fitted(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """One row from (pattern, n): p, the patterns, and s, the share of good documents and each rule's accuracies."""
     r = len(RULES)
     array = lambda p: "array(" + ", ".join(f"{x}D" for x in p) + ")"
     table = lambda p: f"array_repeat({array(p)}, {r})"
-    row = patterns.agg(F.sort_array(F.collect_list(F.struct("pattern", F.col("n").cast("double").alias("n"), F.expr(f"transform(sequence(0, {r - 1}), i -> int(pattern div int(pow(3, i)) % 3))").alias("v")))).alias("p"), (F.sum("n") * PRIOR_SHARE).alias("w"))
-    posterior = f"1D / (1D + exp(-(ln(s.share / (1D - s.share)) + aggregate(sequence(0, {r - 1}), 0D, (a, i) -> a + ln(s.good[i][x.v[i]] / s.bad[i][x.v[i]])))))"
+    row = patterns.agg(F.sort_array(F.collect_list(F.struct("pattern", F.col("n").cast("double").alias("n"), F.expr(f"transform(sequence(0, {r - 1}), i -> int(pattern div int(pow(3, i)) % 3))").alias("v")))).alias("p"), F.lit(PRIOR_COUNT).alias("w"))
     vote = lambda start, q: f"transform(sequence(0, {r - 1}), i -> transform(sequence(0, 2), k -> (w * {array(start)}[k] + aggregate(e, 0D, (a, x) -> a + IF(x.v[i] = k, x.n * {q}, 0D))) / (w + aggregate(e, 0D, (a, x) -> a + x.n * {q}))))"
     start = f"named_struct('share', {START_SHARE}D, 'good', {table(START_GOOD)}, 'bad', {table(START_BAD)})"
-    step = f"""transform(array(transform(p, x -> struct(x.v AS v, x.n AS n, {posterior} AS q))), e ->
+    step = f"""transform(array(transform(p, x -> struct(x.v AS v, x.n AS n, {_posterior()} AS q))), e ->
         named_struct('share', (w * {START_SHARE}D + aggregate(e, 0D, (a, x) -> a + x.n * x.q)) / (w + aggregate(e, 0D, (a, x) -> a + x.n)),
         'good', {vote(START_GOOD, 'x.q')}, 'bad', {vote(START_BAD, '(1D - x.q)')}))[0]"""
-    fitted = row.select("p", F.expr(f"aggregate(sequence(1, {iterations}), {start}, (s, j) -> {step})").alias("s"))
-    return fitted.select(F.expr(f"explode(transform(p, x -> struct(x.pattern AS pattern, {posterior} AS posterior))) AS e")).select("e.*")
+    return row.select("p", F.expr(f"aggregate(sequence(1, {iterations}), {start}, (s, j) -> {step})").alias("s")) if iterations else row.select("p", F.expr(start).alias("s"))
+
+
+def _posterior() -> str:
+    return f"1D / (1D + exp(-(ln(s.share / (1D - s.share)) + aggregate(sequence(0, {len(RULES) - 1}), 0D, (a, i) -> a + ln(s.good[i][x.v[i]] / s.bad[i][x.v[i]])))))"
+
+
+def estimated(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """(pattern, posterior) from (pattern, n): the probability that a document of these votes is good."""
+    return fitted(patterns, iterations).select(F.expr(f"explode(transform(p, x -> struct(x.pattern AS pattern, {_posterior()} AS posterior))) AS e")).select("e.*")
+
+
+def accuracies(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """(rule, vote, good, bad): how often good and bad documents get each vote (-1, 0, 1) of each rule, as estimated."""
+    names = "array(" + ", ".join(f"'{name}'" for name, _, _ in RULES) + ")"
+    each = F.expr(f"explode(flatten(transform(s.good, (g, i) -> transform(g, (x, k) -> struct({names}[i] AS rule, k - 1 AS vote, x AS good, s.bad[i][k] AS bad))))) AS e")
+    return fitted(patterns, iterations).select(each).select("e.*")
 
 
 def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -146,7 +162,7 @@ def oracle_sql(iterations: int = ITERATIONS) -> str:
     voted AS MATERIALIZED (SELECT *, {pattern_sql()} AS pattern FROM counts),
     pat AS MATERIALIZED (SELECT pattern, count(*) AS n FROM voted GROUP BY pattern),
     votes AS MATERIALIZED (SELECT pattern, n, r, (pattern // (3 ** r)::INT) % 3 AS k FROM pat, range({len(RULES)}) g(r)),
-    w AS MATERIALIZED (SELECT sum(n) * {PRIOR_SHARE} AS w FROM pat),
+    w AS MATERIALIZED (SELECT {PRIOR_COUNT}::DOUBLE AS w),
     s0 AS (SELECT {START_SHARE}::DOUBLE AS share),
     p0 AS MATERIALIZED (SELECT r, k, {start('good', START_GOOD)}, {start('bad', START_BAD)} FROM range({len(RULES)}) g(r), range(3) h(k)),
     {', '.join(steps)}
