@@ -6,9 +6,9 @@ rejected in one pair with it, so a group of n gives n - 1 pairs. The longest com
 their turns, compared by role and text, is rendered once as the prompt; what follows in each is
 its completion, with the character spans of assistant text as the loss mask.
 
-All of it is DataFrame and SQL code. The groups' chosen are found by an aggregation with map-side
-combine and joined to the members by the digest of the opening turn; adaptive execution may split
-a hot opening.
+All of it is DataFrame and SQL code. Each group is dealt over SALTS parts by a hash of conv_id: every
+part has its best, the best of at most SALTS parts is the group's, and it goes back to each part. So
+a hot opening is never one task's.
 
 Defined results: turns stand in the order of turn, role, text; a null role or text is empty, a
 null turn comes first; a row with a null conv_id belongs to no conversation and is left out;
@@ -20,11 +20,13 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rendering of a turn: opening, role, middle, text, closing. Fixed values.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
+#: Parts of a group of conversations with one opening.
+SALTS = 64
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -57,8 +59,11 @@ def mask(ts: Column) -> Column:
 def pairs(turns: DataFrame) -> DataFrame:
     """chosen_id, rejected_id, kind, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask."""
     c = conversations(turns).withColumn("opening", F.sha2(F.to_json(F.col("ts")[0]), 256))
-    best = c.groupBy("opening").agg(F.max_by(F.struct("conv_id", "ts"), F.struct("said", -F.col("conv_id"))).alias("best"), F.count("*").alias("n"))
-    both = c.join(best, "opening").where((F.col("n") == 1) | (F.col("conv_id") != F.col("best.conv_id")))
+    c = c.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int"))
+    group = Window.partitionBy("opening")
+    parts = c.groupBy("opening", "salt").agg(F.max_by(F.struct("said", (-F.col("conv_id")).alias("_"), "conv_id", "ts"), F.struct("said", -F.col("conv_id"))).alias("best"), F.count("*").alias("n"))
+    best = parts.withColumn("best", F.max("best").over(group)).withColumn("n", F.sum("n").over(group))
+    both = c.join(best, ["opening", "salt"]).where((F.col("n") == 1) | (F.col("conv_id") != F.col("best.conv_id")))
     same = F.array_position(F.zip_with(F.col("best.ts"), F.col("ts"), lambda x, y: x.eqNullSafe(y)), False)
     common = F.when(same > 0, same - 1).otherwise(F.size("ts"))
     last = F.array_position(F.transform(F.reverse("ts"), lambda t: t.role), "assistant")
