@@ -26,27 +26,38 @@ ODD = [(10, "http://a/x", None), (11, "http://a/y", ""), (12, None, "<p>same</p>
 def test_warc_round_trip(spark, tmp_path, compression):
     path = f"file://{tmp_path}/w"
     warc.write(pages(spark, ODD), path, compression=compression)
-    captures = warc.assembled(warc.read(spark, path)).collect()
-    assert len(captures) == len(ODD) - 1
+    captures = warc.assembled(warc.read(spark, path, compressed=compression == "gzip")).collect()
+    assert len(captures) == len(ODD)
     assert all(len(c.requests) == 1 and len(c.metadata) == 1 for c in captures)
-    payloads = {bytes(c.metadata[0].payload).decode().split(": ")[1].strip(): c.response for c in captures}
+    payloads = {bytes(c.metadata[0].payload).decode().split(": ")[-1].strip(): c.response for c in captures}
     assert bytes(payloads["14"].payload).decode() == "é" * 50000 and payloads["13"].type == "revisit" and payloads["13"].payload is None
     data = b"".join((gzip.decompress if compression == "gzip" else bytes)(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*")))
     assert sum(1 for _ in warc.parsed(data)) == 3 * len(captures)
 
 
-def test_warc_digests(spark):
-    got = {r.page_id: tuple(r)[1:] for r in warc.digests(pages(spark, ODD).repartition(3)).collect()}
-    first, want = {}, {}
-    for i, _, h in sorted(x for x in ODD if x[0] is not None):
+def warc_by_hand(rows):
+    first, want = {}, []
+    for i, u, h in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
         b = (h or "").encode()
         sha = base64.b32encode(hashlib.sha1(b).digest()).decode()
-        lead = first.setdefault(sha, i)
-        want[i] = (len(b), sha, "response" if lead == i else "revisit", None if lead == i else lead)
-    assert got == want
+        lead = first.setdefault(sha, (i, u or ""))
+        want.append((i, len(b), sha, "response", None) if lead == (i, u or "") else (i, len(b), sha, "revisit", lead[0]))
+    return sorted(want, key=str)
+
+
+def test_warc_digests(spark):
+    rows = [*ODD, (15, "http://d", "unique"), (15, "http://d2", "unique"), (16, "http://d", "unique"), (15, "http://d", "other"), (None, None, "no id"), (None, None, None)]
+    got = sorted((tuple(r) for r in warc.digests(pages(spark, rows).repartition(3)).collect()), key=str)
+    assert got == warc_by_hand(rows)
     assert warc.digests(pages(spark, [])).collect() == []
 
 
+def test_warc_hot_payload_over_many_parts(spark):
+    rows = [(i, f"http://h/{i}", "hot" if i % 3 else f"own {i}") for i in range(400)]
+    got = sorted((tuple(r) for r in warc.digests(pages(spark, rows).repartition(5)).collect()), key=str)
+    assert got == warc_by_hand(rows)
+
+
 def test_warc_rejects_broken_archives():
     with pytest.raises(ValueError):
         list(warc.parsed(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: x\r\nContent-Length: 99\r\n\r\nshort"))
