@@ -25,6 +25,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
 import numpy as np
@@ -80,22 +81,33 @@ class Encoder:
         return out
 
     def merged(self, symbols: list[str]) -> list[int]:
-        """Exact merging: the pair of lowest rank first, leftmost among equals."""
-        get, none = self.pair_rank.get, self.no_rank
+        """Exact merging: the pair of lowest rank first, leftmost among equals.
+
+        A heap of (rank, place) over a linked list: n log n in the length of the word.
+        """
+        get, none, made = self.pair_rank.get, self.no_rank, self.made
         ids = [self.vocab[x] for x in symbols]
-        ranks = [get(a << 20 | b, none) for a, b in pairwise(ids)]
-        while ranks:
-            rank = min(ranks)
-            if rank == none:
-                break
-            at = ranks.index(rank)
-            ids[at : at + 2] = [self.made[rank]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = get(ids[at - 1] << 20 | ids[at], none)
-            if at < len(ranks):
-                ranks[at] = get(ids[at] << 20 | ids[at + 1], none)
-        return ids
+        n = len(ids)
+        if n < 2:
+            return ids
+        heap = [(rank, i) for i, (a, b) in enumerate(pairwise(ids)) if (rank := get(a << 20 | b, none)) != none]
+        heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i] if ids[i] >= 0 else n
+            if j == n or get(ids[i] << 20 | ids[j], none) != rank:
+                continue  # one of the two has merged since
+            ids[i], ids[j] = made[rank], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (rank := get(ids[i] << 20 | ids[k], none)) != none:
+                    heappush(heap, (rank, i))
+            k = before[i]
+            if k >= 0 and (rank := get(ids[k] << 20 | ids[i], none)) != none:
+                heappush(heap, (rank, k))
+        return [t for t in ids if t >= 0]
 
     def greedy(self, symbols: list[str]) -> list[int] | None:
         """The longest token at each position; None where no token fits."""

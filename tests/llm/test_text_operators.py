@@ -148,6 +148,23 @@ def test_ngram_join_group_headed_by_a_much_longer_document(spark):
     assert {got[i][1] for i in range(1, 11)} == {1} and got[0][1] == 0
 
 
+@pytest.mark.parametrize("parts", [1, 12])
+def test_ngram_join_heads_of_other_sizes_over_many_parts(spark, parts):
+    """Near copies headed by a document that holds their text and much more, so that no head links; seen too seldom in a task to be known as frequent."""
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(260)]
+    rows = [(0, " ".join([*base, *(f"z{i}" for i in range(200))]))]
+    for i in range(60):
+        words = list(base)
+        words[4 * i] = f"q{i}"
+        rows.append((1 + i, " ".join(words)))
+    for i in range(20):  # others that share nothing
+        rows.append((100 + i, " ".join("".join(r.choice("klmnop") for _ in range(8)) for _ in range(60))))
+    got = {x[0]: (x[1], x[2]) for x in ngram_join.joined(table(spark, rows).repartition(parts), 5, 80, 100).collect()}
+    assert got == linked_by_hand(rows, 5, 80, 100)
+    assert {got[i][1] for i in range(1, 61)} == {1} and got[0][1] == 0
+
+
 def test_ngram_join_empty_and_defaults(spark):
     assert ngram_join.joined(table(spark, [])).collect() == []
     rows = [(5, "a b c d e f g h i j k l"), (3, "A B C D E F G H I J K L"), (4, ""), (6, None)]
@@ -186,6 +203,20 @@ def test_bpe_words(word):
     assert bpe.encoder(TOKENIZER).encode_words([word])[0] == library.encode(word, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "acgt", "a", "ab"])
+def test_bpe_very_long_words(letters, tokenizer):
+    import time
+
+    r = random.Random(3)
+    word = "".join(r.choice(letters) for _ in range(100_000))
+    e = bpe.Encoder(TOKENIZER)
+    began = time.process_time()
+    symbols = e.symbols(word)
+    ids = e.merged(symbols)
+    assert time.process_time() - began < 2
+    assert ids == tokenizer.encode(word, add_special_tokens=False).ids == e.encode_words([word])[0]
+
+
 def test_packing_cuts_every_id_once(spark, tokenizer):
     rows = [*corpus(9, 50), *ODD, (1003, "one")]
     got = packing.packed(table(spark, rows).repartition(3), TOKENIZER, window=256, with_ids=True).collect()
