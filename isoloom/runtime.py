@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from pathlib import Path
@@ -10,21 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
-#: Rows in one Arrow batch that goes to Python; long texts make larger batches a memory risk.
-ARROW_ROWS = 512
+#: Rows and bytes in one Arrow batch that goes to Python (a longer row is a batch of its own).
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
+#: How Python workers allocate: large arrays go back to the system when they are freed.
+ALLOCATION = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep Arrow batches small. Idempotent."""
+    """Let Python workers import this package, and keep Arrow batches and the workers small. Idempotent."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    for name, value in ALLOCATION.items():
+        env.setdefault(name, value)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
+def returned_memory() -> None:
+    """Hand freed memory of this process back to the system, where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor sees.
 
