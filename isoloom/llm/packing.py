@@ -17,9 +17,11 @@ empty table gives no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,12 @@ WINDOW = 4096
 END_TOKEN = 2
 #: Open windows a task holds at most; their ids are kept in memory until they close.
 MOST_OPEN = 2048
-#: Distinct words remembered in a task; beyond, it starts over.
-CACHE_WORDS = 1_200_000
+#: Distinct words and their ids remembered in a worker; beyond either, it starts over.
+CACHE_WORDS, CACHE_IDS = 1_000_000, 6_000_000
+#: Words given to the tokenizer at a time: its results are large objects.
+ENCODED_WORDS = 2048
+#: Bytes of text worked on at a time.
+CHUNK_BYTES = 1 << 18
 
 
 class Packer:
@@ -82,7 +88,7 @@ class Packer:
             pieces = self.open[level].pop()
             self.levels[level] -= 1
             self.n_open -= 1
-        pieces.append((doc, start, ids[start:], total))
+        pieces.append((doc, start, ids[start:].copy() if start else ids, total))  # a view would hold the whole document
         if level + size == self.window:
             self.close(pieces)
             return
@@ -125,18 +131,18 @@ class Packer:
 class IdTable:
     """The ids of distinct words, flat, found by the words' hashes."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, kind=np.uint32):
+        self.encode, self.kind = encode, kind
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.rows = np.zeros(0, K.U), np.zeros(0, np.int64)
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.rows = np.zeros(0, K.U), np.zeros(0, np.int32)
+        self.starts, self.flat = np.zeros(1, np.int32), np.zeros(0, self.kind)
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and the number of each word's."""
         distinct, first, where = np.unique(K.span_hash(K.prefix_hash(buf), starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > CACHE_WORDS:
+        if len(self.hashes) + len(distinct) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self.clear()
         at = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
@@ -146,16 +152,21 @@ class IdTable:
         rows[known] = self.rows[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            data = buf.tobytes()
-            got = self.encode([data[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            data = buf.data
             rows[new] = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(new))
-            sizes = np.array([len(g) for g in got], np.int64)
-            self.flat = np.concatenate([self.flat, np.fromiter((t for g in got for t in g), np.uint32, int(sizes.sum()))])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            sizes, flat = [], [self.flat]
+            for k in range(0, len(new), ENCODED_WORDS):
+                some = first[new[k : k + ENCODED_WORDS]]
+                got = self.encode([str(data[s:e], "utf-8") for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+                sizes.extend(map(len, got))
+                flat.append(np.fromiter(chain.from_iterable(got), self.kind, sum(map(len, got))))
+            sizes = np.array(sizes, np.int64)
+            self.flat = np.concatenate(flat)
+            self.starts = np.concatenate([self.starts, (self.starts[-1] + np.cumsum(sizes)).astype(np.int32)])
             self.hashes = np.insert(self.hashes, at[new], distinct[new])
             self.rows = np.insert(self.rows, at[new], rows[new])
         rows = rows[where]
-        sizes = self.starts[rows + 1] - self.starts[rows]
+        sizes = (self.starts[rows + 1] - self.starts[rows]).astype(np.int64)
         ends_at = np.cumsum(sizes)
         total = int(ends_at[-1]) if len(ends_at) else 0
         shift = np.repeat(self.starts[rows] - (ends_at - sizes), sizes)
@@ -165,6 +176,8 @@ class IdTable:
 @lru_cache(maxsize=2)
 def id_table(path: str) -> IdTable:
     """Words and their ids by the tokenizers library; one table for each Python worker."""
+    # Tasks are the threads here: a pool in every worker would hold memory and fight for the same cores.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -174,7 +187,7 @@ def id_table(path: str) -> IdTable:
     def encode(words: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    return IdTable(encode)
+    return IdTable(encode, np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
 
 def packed(docs: DataFrame, path: str, window: int = WINDOW, end_token: int = END_TOKEN, with_ids: bool = False) -> DataFrame:
@@ -199,7 +212,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end_token: int = EN
         for batch in batches:
             id_type = batch.column("doc_id").type
             doc_ids = batch.column("doc_id").to_pylist()
-            for lo, hi, buf, offsets in K.text_chunks(batch.column("text")):
+            for lo, hi, buf, offsets in K.text_chunks(batch.column("text"), CHUNK_BYTES):
                 starts, ends, bounds = K.word_spans(buf, offsets)
                 ids, sizes = table.ids(buf, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 cut = np.concatenate([[0], np.cumsum(sizes)])[bounds]

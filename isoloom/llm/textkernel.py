@@ -52,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i up to n at least."""
-    return _powers(max(1 << 21, 1 << int(n + 1).bit_length()))
+    return _powers(max(1 << 19, 1 << int(n + 1).bit_length()))
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoloom.llm import textkernel as K
-from isoloom.runtime import prepare
+from isoloom.runtime import prepare, returned_memory
 
 BUCKET_BITS = 18
 #: Labelled documents the model is fitted on at most: the first in the order of a hash of doc_id.
@@ -30,6 +30,8 @@ SAMPLE_ROWS = 4000
 #: Bytes of text of that sample at most, taken in the same order; a text that does not fit is passed over.
 SAMPLE_BYTES = 48_000_000
 EPOCHS = 200
+#: Bytes of the sample worked on at a time.
+FIT_BYTES = 1 << 18
 #: Step of the gradient, and the pull of every weight to zero.
 RATE = 0.5
 SPARSITY = 0.6
@@ -88,31 +90,36 @@ def noisy_or(model: Model, buckets: np.ndarray, first: np.ndarray, bounds: np.nd
 
 def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Full-batch Adagrad on the likelihood of the document labels under the noisy-or. Deterministic."""
-    words, firsts, docs, n_words, n_sents = [], [], [0], 0, 0
-    for _, _, buf, offsets in K.text_chunks(texts):
-        b, f, bounds, _, _ = sentences(buf, offsets)
-        words.append(b)
-        firsts.append(f + n_words)
-        docs.extend(bounds[1:] + n_sents)
-        n_words, n_sents = n_words + b.shape[1], n_sents + len(f)
     y = labels.astype(float)
     prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
-    weights = np.zeros(1 << BUCKET_BITS)
-    if not n_words or y.min() == y.max():
-        return Model(weights, float(np.log(0.001)), prior)
-    words, firsts, docs = np.concatenate(words, axis=1), np.concatenate(firsts), np.array(docs)
-    # A word counts once in a sentence; a word of few documents says more about them than about toxicity.
-    # What counts as few follows the toxic documents where these are few, or none of their words could take part.
-    sentence = np.repeat(np.arange(n_sents), np.diff(np.append(firsts, n_words)))
-    doc_of = np.repeat(np.arange(len(y)), np.diff(docs))
-    low = (1 << BUCKET_BITS) - 1
-    seen, hits = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    pairs = np.unique(np.concatenate([np.unique(doc_of[sentence] << BUCKET_BITS | b) for b in words]))
-    seen = np.bincount(pairs & low, minlength=1 << BUCKET_BITS)
-    hits = np.bincount(pairs & low, y[pairs >> BUCKET_BITS], 1 << BUCKET_BITS)
+    size, low = 1 << BUCKET_BITS, (1 << BUCKET_BITS) - 1
+    weights = np.zeros(size)
+    nothing = Model(weights, float(np.log(0.001)), prior)
+    if not len(y) or y.min() == y.max():
+        return nothing
+    # A word counts once in a sentence, and its document once in what is counted of the word. Neither crosses a chunk.
+    chunks, doc_of, seen, hits, n_sents = [], [], np.zeros(size), np.zeros(size), 0
+    for lo, hi, buf, offsets in K.text_chunks(texts, FIT_BYTES):
+        b, f, bounds, _, _ = sentences(buf, offsets)
+        if not len(f):
+            continue
+        docs = np.repeat(np.arange(lo, hi), np.diff(bounds))
+        sentence = np.repeat(np.arange(len(f)), np.diff(np.append(f, b.shape[1])))
+        pairs = np.unique(np.concatenate([np.unique(docs[sentence] << BUCKET_BITS | x) for x in b]))
+        seen += np.bincount(pairs & low, minlength=size)
+        hits += np.bincount(pairs & low, y[pairs >> BUCKET_BITS], size)
+        chunks.append(np.unique(np.concatenate([np.unique(sentence << BUCKET_BITS | x) for x in b])) + (n_sents << BUCKET_BITS))
+        doc_of.append(docs)
+        n_sents += len(f)
+    if not n_sents:
+        return nothing
+    doc_of = np.concatenate(doc_of)
+    # A word of few documents says more about them than about toxicity. What counts as few follows the
+    # toxic documents where these are few, or none of their words could take part.
     few = max(2, min(len(y) // 200, int(y.sum()) // 10))
     worth = (seen >= few) & (hits >= 2) & (hits > min(0.5, 3 * y.mean()) * seen)
-    once = np.unique(np.concatenate([np.unique(sentence[k] << BUCKET_BITS | b[k]) for b in words for k in [worth[b]]]))
+    once = np.concatenate([c[worth[c & low]] for c in chunks])
+    del chunks
     sentence, words = once >> BUCKET_BITS, once & low
     used, words = np.unique(words, return_inverse=True)
     w, bias = np.zeros(len(used)), -7.0
@@ -140,22 +147,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     """A model from at most `sample_rows` labelled documents and `sample_bytes` of their text, outside the held-out fold.
 
     The sample is bounded by both parameters whatever the size of the tables: the ids are chosen
-    first, so only their texts are read into the driver.
+    first, so only their texts are read into the driver, one for each id (the smallest, where rows repeat it).
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     hashed = F.xxhash64("doc_id")
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("_y")).orderBy(hashed, "doc_id").limit(sample_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_b"), hashed.alias("_h"))
-    sizes = found.select("doc_id", "_h", "_b").toPandas().groupby(["_h", "doc_id"], as_index=False)["_b"].sum()  # sorted by both
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
+    sizes = texts.select("doc_id", hashed.alias("_h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_b")).toPandas().sort_values(["_h", "doc_id"])
     fits, total = [], 0
     for doc, size in zip(sizes["doc_id"].tolist(), sizes["_b"].tolist(), strict=True):
         if total + size <= sample_bytes:
             fits.append(doc)
             total += size
     if len(fits) < len(sizes):
-        found = found.where(F.col("doc_id").isin(fits))
-    rows = found.select("doc_id", "text", "_y").toPandas().sort_values(["doc_id", "text"])
-    return fit(pa.array(rows["text"], pa.large_string()), (rows["_y"].to_numpy() > 0), epochs)
+        texts = texts.where(F.col("doc_id").isin(fits))
+    rows = texts.select("doc_id", "text", "_y").toArrow().sort_by("doc_id")
+    model = fit(rows.column("text").combine_chunks().cast(pa.large_string()), rows.column("_y").to_numpy() > 0, epochs)
+    del rows
+    returned_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), locate: bool = False) -> DataFrame:

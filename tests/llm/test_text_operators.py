@@ -302,6 +302,43 @@ def test_toxicity_learns_a_word_and_finds_its_sentence(spark):
     assert all(x.predicted == 0 for x in toxicity.scored(docs, none).collect())
 
 
+def test_noisy_or_against_a_plain_computation(spark):
+    """Scores from the model's weights, one word, sentence and document at a time."""
+    import math
+    import re
+
+    rows = [*corpus(17, 40), (500, "One. two two! three\nfour? FIVE"), (501, "..."), *ODD[:6], ODD[8], ODD[9]]
+    r = np.random.default_rng(5)
+    model = toxicity.Model(np.where(r.random(1 << toxicity.BUCKET_BITS) < 0.3, r.random(1 << toxicity.BUCKET_BITS) * 4, 0).astype(np.float32), -5.0, 0.25)
+
+    def bucket(word: bytes) -> int:
+        buf = np.frombuffer(word, np.uint8)
+        return int(textkernel.span_hash(textkernel.prefix_hash(buf, lower=True), np.array([0]), np.array([len(word)]))[0]) >> (64 - toxicity.BUCKET_BITS)
+
+    def plain(text: str) -> float:
+        survive = 1.0
+        some = False
+        for sentence in re.split(rb"[\n!.?]", text.encode()):
+            words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence)
+            if words:
+                some = True
+                z = model.bias + sum(float(model.weights[bucket(w[:n] if n else w)]) for w in words for n in toxicity.FEATURES)
+                survive *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - survive if some else model.prior
+
+    got = sorted((x.doc_id or -1, x.score) for x in toxicity.score(table(spark, rows), model).collect())
+    assert got == [(i, pytest.approx(s, abs=2e-6)) for i, s in sorted((i or -1, plain(t or "")) for i, t in rows)]
+
+
+def test_toxicity_repeated_rows_train_once(spark, monkeypatch):
+    rows = [(0, "b"), (0, "a"), (0, "b")] * 5 + [(2, None), (2, None)]
+    marks = spark.createDataFrame([(0, 1, 1), (0, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, epochs: taken.append((texts.to_pylist(), y.tolist())))
+    toxicity.train(table(spark, rows), marks)
+    assert taken in ([(["a", None], [True, False])], [(["a"], [True])], [([None], [False])])
+
+
 def test_toxicity_learns_words_of_rare_labels():
     r = random.Random(4)
     words = [f"word{i}" for i in range(300)]
