@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.runtime import written
+from isoloom.runtime import discard, written
 
 MOST_ROUNDS = 60
 
@@ -18,7 +18,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     larger neighbours, then of the smaller ones, until every node points at its component's
     smallest. Both steps are one aggregation with map-side combine and one join on the node, in
     which adaptive execution may split a hub. Each round is written to the shared folder, so a
-    lost executor repeats at most one round. Edges that repeat are dropped once a round. The number of rounds is logarithmic in practice.
+    lost executor repeats at most one round. Edges that repeat are dropped once a
+    round, and a round's table is deleted when the next stands. The number of rounds is
+    logarithmic in practice; beyond MOST_ROUNDS an error says so.
     """
     ab = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = written(ab.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
@@ -29,9 +31,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(before)
         if state == previous:
             break
         previous = state
+    else:
+        raise RuntimeError(f"components have not settled after {MOST_ROUNDS} rounds")
     return now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))

@@ -60,6 +60,6 @@ def start_dump(placed: DataFrame, o: IsoformOptions) -> DataFrame:
     return each.where("kind <> 'lead'").unionByName(leads.select(F.lit(None).cast("long").alias("cluster_id"), F.lit("lead").alias("kind"), F.concat_ws("\t", F.lit("lead"), "n", "b", F.col("k").cast("string")).alias("value")))
 
 
-def library_line(stats, library) -> str:
+def library_line(facts, library) -> str:
     """The decision on a library as a line: library, labelled, capped, cap signal, threshold, candidates, stop fraction."""
-    return "\t".join(map(str, ("library", stats.labelled, stats.capped, int(library.cap_signal), library.threshold, len(stats.candidates), library.stop_fraction)))
+    return "\t".join(map(str, ("library", facts.labelled, facts.capped, int(library.cap_signal), library.threshold, facts.candidates, library.stop_fraction)))

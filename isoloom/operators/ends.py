@@ -9,6 +9,7 @@ import numpy as np
 
 from isoloom.options import IsoformOptions, StartLibrary
 
+# The thresholds and windows below are fixed values.
 #: A read within RADIUS of a start begins there; SHARP is the wider window it is compared with.
 RADIUS, SHARP = 25, 300
 #: Without thresholds of the library: stop fraction and capped share of a real start.
@@ -17,6 +18,7 @@ STOP_FRACTION, CAPPED_SHARE = 0.42, 0.7
 CAP_LIBRARY, CAP_READS = 0.2, 10
 #: Candidates that a library needs for thresholds of its own.
 CANDIDATES = 100
+#: Windows around a start that the dump counts. Fixed values.
 DUMP_WINDOWS = (50, 100, 150, 200, 300, 500, 750, 1000, 1500)
 #: The start key of reads at no validated start; it sorts before all others.
 ANYWHERE = -(1 << 31)
@@ -75,7 +77,14 @@ def rank_test(sharpness: np.ndarray, capped: np.ndarray) -> tuple[float, float]:
         return 0.0, 0.5
     _, place, counts = np.unique(sharpness, return_inverse=True, return_counts=True)
     upto = np.cumsum(counts)
-    u = (upto - (counts - 1) / 2)[place][capped].sum() - n1 * (n1 + 1) / 2
+    return rank_z(n1, n2, 2 * (upto - (counts - 1) / 2)[place][capped].sum())
+
+
+def rank_z(n1: float, n2: float, twice_rank_sum: float) -> tuple[float, float]:
+    """Mann-Whitney z and AUC from the group sizes and twice the rank sum of the first group."""
+    if not n1 or not n2:
+        return 0.0, 0.5
+    u = twice_rank_sum / 2 - n1 * (n1 + 1) / 2
     return float((u - n1 * n2 / 2) / np.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)), float(u / (n1 * n2))
 
 

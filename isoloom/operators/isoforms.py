@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoloom.operators import ends
+from isoloom.operators import relational as R
 from isoloom.operators.merge import isoforms_of
 from isoloom.operators.minimizers import minimizers
 from isoloom.operators.placement import structure_groups
-from isoloom.options import IsoformOptions
+from isoloom.options import IsoformOptions, StartLibrary
 from isoloom.runtime import prepare, written
 
 PLACED = "cluster_id long, group_id int, ord int, read_idx long, start int, end int"
 FOUND = "cluster_id long, isoform_index int, consensus string, alt_start boolean, variant_of int, start_offset int, members array<long>"
-#: Distinct (share, sharpness) pairs the driver takes as they are.
-MOST_PAIRS = 200_000
 STATS = "cluster_id long, group_id int, reads int, labelled int, capped int, candidates array<struct<share: float, sharpness: float>>, stop_fractions array<float>"
 
 
@@ -60,30 +59,39 @@ def start_stats(placed: DataFrame, o: IsoformOptions) -> DataFrame:
     return placed.groupBy("cluster_id").applyInPandas(run, STATS)
 
 
-def library(stats: DataFrame, o: IsoformOptions):
-    """The library's decision from the groups' statistics."""
-    return library_stats(stats).library(o)
+@dataclass
+class LibraryFacts:
+    """What start validation sees over all groups: a few numbers, whatever the size of the library."""
 
+    labelled: int
+    capped: int
+    candidates: int
+    stops: int
 
-def library_stats(stats: DataFrame) -> ends.StartStats:
-    """The groups' statistics in one.
 
-    The driver collects distinct pairs of candidate values while there are at most MOST_PAIRS;
-    beyond, values are rounded to a grid of that order, fine enough for the cuts in hundredths.
-    """
-    sums = stats.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("capped"), F.lit(0)).alias("g")).first()
+def library_facts(stats: DataFrame) -> LibraryFacts:
+    total = lambda c, n: F.coalesce(F.sum(c), F.lit(0)).alias(n)
+    r = stats.agg(total("labelled", "n"), total("capped", "g"), total(F.size("candidates"), "c"), total(F.size("stop_fractions"), "s")).first()
+    return LibraryFacts(int(r["n"]), int(r["g"]), int(r["c"]), int(r["s"]))
+
+
+def library(stats: DataFrame, o: IsoformOptions, facts: LibraryFacts | None = None) -> StartLibrary:
+    """The library's decision from the groups' statistics. Cuts and ranks are made by Spark; sums reach the driver."""
+    facts = facts or library_facts(stats)
     each = stats.select(F.explode("candidates").alias("c")).select("c.*")
-    out = ends.StartStats(int(sums["n"]), int(sums["g"]))
-    grid = each.groupBy("share", "sharpness").agg(F.count("*").alias("n"))
-    if grid.count() > MOST_PAIRS:
-        cell = lambda c, n: F.floor(F.col(c).cast("double") * n).alias(f"_{c}")
-        grid = each.groupBy(cell("share", 100), cell("sharpness", 1024)).agg(F.count("*").alias("n"), F.min("share").alias("share"), F.min("sharpness").alias("sharpness"))
-    for r in grid.collect():
-        out.candidates += [(r["share"], r["sharpness"])] * r["n"]
-    stops = stats.select(F.explode("stop_fractions").alias("v")).groupBy(F.least(F.floor(F.col("v").cast("double") * 100), F.lit(99)).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("v"))
-    for r in stops.collect():
-        out.stop_fractions += [r["v"]] * r["n"]
-    return out
+    many = facts.candidates >= ends.CANDIDATES
+    threshold = o.cap_threshold if o.cap_threshold is not None else R.otsu(each, "share").first()["cut"] if many else ends.CAPPED_SHARE
+    signal = o.cap_signal == "on"
+    if o.cap_signal == "auto":
+        signal = facts.labelled >= ends.CAP_READS and facts.capped >= ends.CAP_LIBRARY * facts.labelled
+        if signal and many:
+            r = R.rank_sums(each.withColumn("flag", F.col("share").cast("double") >= threshold), "sharpness", "flag").first()
+            signal = ends.rank_z(r["n1"], r["n2"], r["twice_rank_sum"])[0] > 3.09
+    stop = o.stop_threshold
+    if stop is None:
+        stops = stats.select(F.explode("stop_fractions").alias("v"))
+        stop = R.otsu(stops, "v").first()["cut"] if facts.stops >= ends.CANDIDATES else ends.STOP_FRACTION
+    return StartLibrary(bool(signal), float(threshold), float(stop))
 
 
 def detected(placed: DataFrame, o: IsoformOptions) -> DataFrame:
@@ -99,14 +107,15 @@ def detected(placed: DataFrame, o: IsoformOptions) -> DataFrame:
     return placed.groupBy("cluster_id").applyInPandas(run, FOUND)
 
 
-def isoforms(members: DataFrame, o: IsoformOptions = IsoformOptions(), whole_library: bool = True) -> DataFrame:
+def isoforms(members: DataFrame, o: IsoformOptions = IsoformOptions(), whole_library: bool = True, placed: DataFrame | None = None) -> DataFrame:
     """The isoforms of all clusters as FOUND; `members` has cluster_id, read_idx, seq.
 
     With automatic start splitting and `whole_library`, all clusters are grouped first, and one
-    decision on starts is made for all of them.
+    decision on starts is made for all of them; an option `library` is that decision where it is
+    known already, and `placed` the written placements.
     """
-    placed = written(placements(members, o), "placed")
+    placed = written(placements(members, o), "placed") if placed is None else placed
     rows = placed.join(members.select("read_idx", "seq"), "read_idx")
-    if whole_library and o.start_split == "auto":
-        o = replace(o, library=library(start_stats(rows, o), o))
+    if whole_library and o.start_split == "auto" and o.library is None:
+        o = replace(o, library=library(written(start_stats(rows, o), "starts"), o))
     return written(detected(rows, o), "isoforms")

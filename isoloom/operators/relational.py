@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from isoloom.operators import ends
 from isoloom.runtime import prepare
 
+#: Cells that values are dealt to before they are ranked.
+RANK_CELLS = 4096
+
 
 def local_extremes(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """is_min and is_max: strictly below or above both neighbours; a missing neighbour is no obstacle."""
@@ -110,10 +113,20 @@ def otsu(values: DataFrame, column: str = "v", default: float = ends.CAPPED_SHAR
 
 
 def rank_sums(values: DataFrame, column: str, flag: str) -> DataFrame:
-    """One row: group sizes and twice the rank sum of the flagged rows, ties sharing their mean rank."""
+    """One row: group sizes and twice the rank sum of the flagged rows, ties sharing their mean rank.
+
+    Values are dealt to at most RANK_CELLS cells in their order; only the cells' sizes are summed up
+    in one place, and ranks are counted within each cell. Sums are exact at every size.
+    """
     counts = values.groupBy(column).agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias("k"))
-    upto = F.sum("n").over(Window.orderBy(column))
-    return counts.withColumn("upto", upto).agg(F.sum("k").alias("n1"), F.sum(F.col("n") - F.col("k")).alias("n2"), F.sum(F.col("k") * (2 * F.col("upto") - F.col("n") + 1)).alias("twice_rank_sum"))
+    range_ = counts.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    share = (F.col(column).cast("double") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
+    cells = counts.crossJoin(F.broadcast(range_)).withColumn("cell", F.coalesce(F.floor(share * (RANK_CELLS - 1)), F.lit(0)).cast("int"))  # one row
+    sizes = cells.groupBy("cell").agg(F.sum("n").alias("size"))
+    below = sizes.select("cell", (F.sum("size").over(Window.orderBy("cell")) - F.col("size")).alias("below"))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("cell").orderBy(column))
+    ranked = cells.join(F.broadcast(below), "cell").withColumn("upto", upto)
+    return ranked.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("n") - F.col("k")), F.lit(0)).alias("n2"), F.coalesce(F.sum(F.col("k") * (2 * F.col("upto") - F.col("n") + 1)), F.lit(0)).alias("twice_rank_sum"))
 
 
 def unique_boundaries(table: DataFrame) -> DataFrame:

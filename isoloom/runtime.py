@@ -45,13 +45,16 @@ def returned_memory() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor sees.
 
-    Only where the session names none (tests, a laptop) is a folder of its own set.
+    Only where the session names none and runs on one machine (tests, a laptop) is a folder of its
+    own set; on a cluster that would be each machine's own disk, and is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file:///tmp/isoloom-checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -68,7 +71,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing will read again."""
+    for table in tables:
+        removed(table.sparkSession, table._scratch)
 
 
 def removed(spark: SparkSession, path: str) -> None:

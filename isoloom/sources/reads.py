@@ -112,14 +112,22 @@ class ReadsSource(DataSource):
 
 
 def load(spark: SparkSession, path: str, max_reads: int | None = None) -> DataFrame:
-    """read_idx, name, seq, len of one file or several."""
+    """read_idx, name, seq, len of one file or several; at most `max_reads`, over all of them in order."""
     from isoloom.runtime import prepare
 
     prepare(spark).dataSource.register(ReadsSource)
     reader = spark.read.format("reads")
     if max_reads is not None:
         reader = reader.option("max_reads", max_reads)
-    return reader.load(path).withColumn("len", F.length("seq"))
+    table = reader.load(path).withColumn("len", F.length("seq"))
+    if max_reads is not None and "," in path:  # no file gives more, but all together can: one number a file is gathered
+        file = F.shiftright("read_idx", 40)
+        left, keep = max_reads, F.lit(False)
+        for r in table.groupBy(file.alias("file")).agg(F.count("*").alias("n")).orderBy("file").collect():
+            keep |= (file == r["file"]) & (F.col("read_idx").bitwiseAND((1 << 40) - 1) < left)
+            left = max(left - r["n"], 0)
+        table = table.where(keep)
+    return table
 
 
 def assignments(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The result tables and files of clustering and isoform detection.
 
 Each function gives a DataFrame whose rows are the lines of a file, in order by its sort columns;
-`save` writes one as a single file where a path names one, else as Spark's part files.
+`save` writes one as sorted part files, or as a single file on request.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def cluster_histogram(clusters: DataFrame) -> DataFrame:
 def cluster_summary(clusters: DataFrame, facts: dict, options) -> DataFrame:
     """The 19 rows (key, value) of a clustering's summary, in order."""
     sizes = size_summary(clusters)
-    top = [r["cluster_size"] for r in cluster_sizes(clusters).orderBy(F.desc("cluster_size")).limit(20).collect()]
+    top = [r["cluster_size"] for r in cluster_sizes(clusters).orderBy(F.desc("cluster_size"), "cluster_id").limit(20).collect()]
     s = sizes.first()
     many = s["multi_read_clusters"]
     rows = [
@@ -99,10 +99,24 @@ def cluster_summary(clusters: DataFrame, facts: dict, options) -> DataFrame:
     return clusters.sparkSession.createDataFrame([(i, k, str(v)) for i, (k, v) in enumerate(rows)], "ord int, key string, value string").orderBy("ord").select("key", "value")
 
 
-def save(df: DataFrame, path: str, header: bool = True) -> None:
-    """Write a result under `path`, in its order: text for one column named value, else tab-separated."""
-    one = df.coalesce(1).write.mode("overwrite")
+def save(df: DataFrame, path: str, header: bool = True, one_file: bool = False) -> None:
+    """Write a result under `path`, in its order: text for one column named value, else tab-separated.
+
+    A folder of sorted part files, each with the header; with `one_file` a file of that name, which
+    all rows reach through one task.
+    """
+    spark = df.sparkSession
+    to = f"{path}.parts" if one_file else path
+    out = (df.coalesce(1) if one_file else df).write.mode("overwrite")
     if df.columns == ["value"]:
-        one.text(path)
+        out.text(to)
     else:
-        one.option("sep", "\t").option("header", header).option("quote", "").csv(path)
+        out.option("sep", "\t").option("header", header).option("quote", "").csv(to)
+    if one_file:
+        jvm = spark.sparkContext._jvm
+        at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        part = next(f.getPath() for f in fs.listStatus(at(to)) if f.getPath().getName().startswith("part-"))
+        fs.delete(at(path), True)
+        fs.rename(part, at(path))
+        fs.delete(at(to), True)

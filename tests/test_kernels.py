@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from isoloom.operators import ends
+from isoloom.operators import align, ends
 from isoloom.operators.align import extend, global_summary
 from isoloom.operators.cluster import assign
 from isoloom.operators.consensus import consensus, modal, untemplated
@@ -282,6 +282,34 @@ def test_capped_start_is_kept_and_uncapped_folded():
     assert ends.lead("G" + seqs[0][800:900], seqs[0], 800) == (1, "G") and ends.lead("GGGGACGT", seqs[0], 0) is None
 
 
+def test_marks_give_the_alignment_of_whole_tables():
+    """The way back over one byte a cell against the one over all scores."""
+    r = np.random.default_rng(12)
+    for _ in range(150):
+        a = "".join(r.choice(list("ACG"), r.integers(1, 40)))
+        b = list(a)
+        for _ in range(r.integers(0, 8)):
+            at = r.integers(0, len(b) + 1)
+            b[at : at + r.integers(0, 4)] = list(r.choice(list("ACG"), r.integers(0, 4)))
+        b = "".join(b) or "A"
+        x, y = align._letters(a), align._letters(b)
+        best, down, along = (np.stack(t) for t in zip(*align._rows(x, y), strict=True))
+        marks = align._marks(x, y)
+        for i in range(len(x) + 1):
+            for j in range(len(y) + 1):
+                m = marks[i, j]
+                if i and j:
+                    assert bool(m & align.DIAGONAL) == (best[i, j] == best[i - 1, j - 1] + (1 if x[i - 1] == y[j - 1] else -1))
+                if i:
+                    assert bool(m & align.DOWN) == (best[i, j] == down[i, j])
+                    assert bool(m & align.MORE_DOWN) == (down[i, j] == down[i - 1, j] + align.EXTEND)
+                if j:
+                    assert bool(m & align.MORE_ALONG) == (along[i, j] == along[i, j - 1] + align.EXTEND)
+    long = "".join(r.choice(list("ACGT"), 3000))
+    found = align.global_summary("A" + long + "C", "G" + long[:1500] + long[1510:] + "T")
+    assert found.longest_indel == 10 and found.matches >= 2988
+
+
 def test_otsu_and_library():
     assert 0.05 < ends.otsu([0.05] * 80 + [0.9] * 60) <= 0.9 and ends.otsu([0.5]) == 0.7
     o = IsoformOptions()

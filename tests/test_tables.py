@@ -42,6 +42,8 @@ def test_fastq_ends_at_the_first_line_that_is_no_header(spark, tmp_path):
     (tmp_path / "empty.fq").write_text("\n\n")
     assert rows(R.load(spark, str(tmp_path / "empty.fq"))) == []
     assert len(rows(R.load(spark, f"{path},{path}"))) == 4
+    assert [n for n, _ in rows(R.load(spark, f"{path},{path}", max_reads=3))] == ["a", "b", "a"]
+    assert [n for n, _ in rows(R.load(spark, f"{path},{path}", max_reads=1))] == ["a"]
 
 
 def test_a_corrupt_gzip_file_is_an_error(spark, tmp_path):
@@ -124,7 +126,7 @@ def test_isoforms_of_the_derived_reads(spark):
     assert members.count() >= 0.9 * table.count()
 
 
-def test_commands_write_their_files(spark, tmp_path):
+def test_commands_write_their_files(spark, tmp_path, capsys):
     reads_file = tmp_path / "reads.fq"
     reads_file.write_text("".join(f"@{r.name}\n{r.seq}\n+\n{'I' * r.len}\n" for r in reads(spark, SF).orderBy("read_idx").collect()))
     out = tmp_path / "out"
@@ -134,7 +136,7 @@ def test_commands_write_their_files(spark, tmp_path):
     assert sum(x.startswith(">") for x in lines("isoforms.fasta")) == found.where("variant_of IS NULL").count() == len(lines("isoform_summary.tsv")) - 1
     total = sum(int(x.split("\t")[2]) for x in lines("isoform_summary.tsv")[1:])
     assert len(lines("isoform_assignments.tsv")) - 1 == total
-    assert len(lines("gene_clusters.tsv")) == 129
+    assert len(lines("gene_clusters.tsv")) == reads(spark, SF).count() + 1
     assert {x.split("\t")[0] for x in lines("starts")} >= {"group", "library"}
     table = tmp_path / "clusters.tsv"
     table.write_text("\n".join("\t".join(x.split("\t")[:2]) for x in lines("gene_clusters.tsv")))
@@ -142,17 +144,63 @@ def test_commands_write_their_files(spark, tmp_path):
     assert again.count() > 0
     assert cli.main(["cluster", str(reads_file), "-o", f"file://{tmp_path}/c", "--emit-assignments"]) == 0
     assert cli.main(["cluster", str(reads_file), "-o", "x", "--max-occ-frac", "2"]) == 2
+    assert cli.main(["find-isoforms", "--reads", str(reads_file), "--clusters", str(table), "-o", f"file://{tmp_path}/one", "--one-file", "--stats", "--threads", "4", "--batch", "9", "--max-buffer-reads", "9"]) == 0
+    named = {x.name for x in (tmp_path / "one").iterdir() if not x.name.startswith(".")}
+    assert named == {"isoform_assignments.tsv", "isoform_summary.tsv", "isoforms.fasta", "start_variants.fasta", "start_variant_assignments.tsv"}
+    assert (tmp_path / "one" / "isoform_summary.tsv").read_text().splitlines()[0] == "cluster_id\tisoform_id\tn_reads\tlength"
+    said = capsys.readouterr().out
+    assert "isoforms=" in said and "placements" in said and "seconds: reading" in said
     with pytest.raises(SystemExit) as stop:
         cli.main(["nonsense"])
     assert stop.value.code == 2
 
 
+def test_library_of_statistics_is_that_of_lists(spark):
+    """The decision made by Spark's sums against the one over lists on the driver."""
+    from isoloom.operators.ends import StartStats
+    from isoloom.operators.isoforms import STATS, library
+
+    r = random.Random(9)
+    for blunt in (False, True):
+        groups, whole = [], StartStats()
+        for g in range(60):
+            n = r.randint(5, 40)
+            high = [r.random() < 0.4 for _ in range(3)]
+            pairs = [(r.choice([0.9, 0.95, 1.0]) if h else r.choice([0.0, 0.05, 0.1]), round(r.random() / 2 + (0.5 if h != blunt else 0), 2)) for h in high]
+            stops = [round(r.random() * (0.3 if r.random() < 0.6 else 1.0), 3) for _ in range(4)]
+            groups.append((1, g, n, n, n // 2, [{"share": a, "sharpness": b} for a, b in pairs], stops))
+            whole.add(StartStats(n, n // 2, pairs, stops))
+        o = IsoformOptions()
+        assert library(spark.createDataFrame(groups, STATS), o) == whole.library(o)
+        assert library(spark.createDataFrame(groups[:5], STATS), o) == StartStats(sum(g[3] for g in groups[:5]), sum(g[4] for g in groups[:5]), [(0.0, 0.0)] * 15, []).library(o)
+    assert library(spark.createDataFrame([], STATS), IsoformOptions()) == StartStats().library(IsoformOptions())
+
+
+def test_components_say_when_they_have_not_settled(spark, monkeypatch):
+    from isoloom.operators import components as module
+
+    monkeypatch.setattr(module, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        module.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from isoloom import runtime
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        runtime.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
 def test_placement_counts(spark):
     from isoloom.operators.diagnostics import placement_counts
 
     members = reads(spark, SF).selectExpr("true_gene AS cluster_id", "read_idx", "seq")
     got = {(r.event, r["class"]): r.n for r in placement_counts(members, IsoformOptions()).collect()}
-    assert got["placements", 0] >= 124 and got["rejected_interior_gap", 0] == got["gap_jumps", 0] > 0
+    assert got["placements", 0] >= 0.9 * members.count() and got["rejected_interior_gap", 0] == got["gap_jumps", 0] > 0
 
 
 def test_start_variant_files(spark):
