@@ -244,8 +244,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     if not ok.any():
         return none, none.view(K.U), none.view(K.U), none, none, none
     prefix = K.prefix_hash(buf)
-    h = prefix[gram:] - prefix[:-gram]
-    h *= K.powers(n)[1][: n - gram + 1]
+    h = K.scaled(prefix[gram:] - prefix[:-gram], K.INVERSE)
     h *= K.U(0x9E3779B97F4A7C15)
     h ^= h >> K.U(29)
     h *= K.U(0xBF58476D1CE4E5B9)

@@ -15,6 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
 #: Bytes of text worked on at a time; one larger document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -41,18 +42,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, U(BASE)), np.full(n, U(inverse))
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: Powers are the product of one of STEP low ones and a high one, so their tables stay small however long a text is.
+STEP_BITS = 14
+STEP = 1 << STEP_BITS
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to n at least."""
-    return _powers(max(1 << 19, 1 << int(n + 1).bit_length()))
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, U(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i for i below STEP, and base**(STEP * j) as far as n needs, 1024 at least."""
+    return _powers(base, STEP), _powers(pow(base, STEP, 1 << 64), max(1024, 1 << (n >> STEP_BITS).bit_length()))
+
+
+def scaled(values: np.ndarray, base: int = BASE) -> np.ndarray:
+    """values[i] * base**i, in place."""
+    low, high = _tables(base, len(values))
+    for j, at in enumerate(range(0, len(values), STEP)):
+        part = values[at : at + STEP]
+        part *= low[: len(part)] * high[j]
+    return values
+
+
+def shifted(values: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """values * BASE**-places, in place; places are below `size`."""
+    low, high = _tables(INVERSE, size)
+    values *= low[places & (STEP - 1)]
+    values *= high[places >> STEP_BITS]
+    return values
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,16 +111,13 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
 def prefix_hash(buf: np.ndarray, lower: bool = False) -> np.ndarray:
     """len(buf) + 1 prefix sums; see `span_hash`."""
     out = np.zeros(len(buf) + 1, U)
-    v = (_LOWER_VALUES if lower else _VALUES)[buf]
-    v *= powers(len(buf))[0][: len(buf)]
-    np.cumsum(v, out=out[1:])
+    np.cumsum(scaled((_LOWER_VALUES if lower else _VALUES)[buf]), out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mixed hashes of the spans, lengths included."""
-    h = prefix[ends] - prefix[starts]
-    h *= powers(len(prefix))[1][starts]
+    h = shifted(prefix[ends] - prefix[starts], starts, len(prefix))
     h += (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)
     return mix(h)
 
