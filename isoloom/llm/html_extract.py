@@ -39,20 +39,66 @@ HIDDEN = frozenset("script style noscript template iframe svg math object head t
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is raw until their end tag.
 RAW = frozenset("script style textarea title noscript iframe".split())
+_ENDS = {tag: re.compile(rf"</{tag}", re.I) for tag in RAW}
 #: What closes an open paragraph or item of the same kind.
+KEEPS = frozenset(("ul", "ol", "dl", "table", "div", "article"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
+#: A tag: closing stroke, name, attributes. A bare '<' ends the attempt, so scanning is linear in the page.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"'<]++|"[^"]*+"|'[^']*+')*+)>""")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def blocks(page: str) -> list[tuple[str, list[tuple[str, ...]], float]]:
-    """(text, path, share of link text) of each leaf block; an element of the path is (tag, name words...)."""
-    out: list[tuple[str, list[tuple[str, ...]], float]] = []
-    stack: list[tuple[str, ...]] = []
+class Path:
+    """The open elements above a block, each (tag, name words...), sharing what is above with its neighbours."""
+
+    __slots__ = ("above", "depth", "element", "slots", "words")
+
+    def __init__(self, above: Path | None, element: tuple[str, ...]):
+        self.above, self.element = above, element
+        self.depth = above.depth + 1 if above else 1
+        new = {f"<{element[0]}", *element[1:]}
+        self.words = above.words | new if above and not new <= above.words else above.words if above else frozenset(new)
+        inner = {f"in<{element[0]}", *(f"in.{w}" for w in element[1:])}
+        self.slots = tuple({_slot(w, PATH_SIZE, salt) for w in self.words | inner for salt in (7, 77)})
+
+
+def path_of(elements: list[tuple[str, ...]]) -> Path | None:
+    out = None
+    for e in elements:
+        out = Path(out, e)
+    return out
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, tag or None) of each piece of markup; a raw element's content is skipped by the caller through send()."""
+    at, n = 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        start, m = at, None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at + 2)
+            if end < 0:
+                return
+            at = end + 1
+        elif m := _TAG.match(page, at):
+            at = m.end()
+        else:
+            at += 1
+            continue
+        at = (yield start, at, m) or at
+
+
+def blocks(page: str) -> list[tuple[str, Path | None, float]]:
+    """(text, path, share of link text) of each leaf block."""
+    out: list[tuple[str, Path | None, float]] = []
+    top: Path | None = None
     parts: list[str] = []
+    opened: dict[str, int] = {}
     linked, in_link, hidden = 0, 0, 0
 
     def flush() -> None:
@@ -60,64 +106,72 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, ...]], float]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, list(stack), min(1.0, linked / len(text))))
+                out.append((text, top, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    def close(upto: int) -> None:
-        nonlocal hidden
-        while len(stack) > upto:
-            hidden -= stack.pop()[0] in HIDDEN
+    def pop() -> str:
+        nonlocal top, hidden
+        tag = top.element[0]
+        opened[tag] -= 1
+        hidden -= tag in HIDDEN
+        top = top.above
+        return tag
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else n
-        if end > at and not hidden:
-            text = page[at:end]
-            parts.append(text)
-            if in_link:
-                linked += len(text)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+    def said(start: int, end: int) -> None:
+        nonlocal linked
+        if end > start and not hidden:
+            parts.append(page[start:end])
+            linked += (end - start) * in_link
+
+    tokens, at = _tokens(page), 0
+    token = next(tokens, None)
+    while token:
+        start, end, m = token
+        said(at, start)
+        at = end
+        if m is None:
+            token = next(tokens, None)
             continue
-        tag = m[2].lower()
+        tag, resume = m[2].lower(), None
         if m[1]:
             if tag == "a":
                 in_link = 0
             elif tag in BLOCKS or tag in HIDDEN:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-            continue
-        if tag == "br":
+                while opened.get(tag) and pop() != tag:
+                    pass
+        elif tag == "br":
             parts.append(" ")
         elif tag == "a":
             in_link = 1
         elif tag in BLOCKS or tag in HIDDEN:
             flush()
-            if tag in BLOCKS and stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "div", "article"):
-                    break
-            if tag in VOID or m[3].endswith("/") and tag in HIDDEN:
-                continue
-            names = [w.lower() for x in _NAMED.finditer(m[3]) for w in _WORD.findall(_CASE.sub(" ", x[2] or x[3] or x[4] or ""))] if m[3] else []
-            if tag == "body":
-                close(0)
-            stack.append((tag, *names))
-            hidden += tag in HIDDEN
-            if tag in RAW:
-                stop = re.compile(rf"</{tag}", re.I).search(page, at)
-                at = stop.start() if stop else n
+            if tag in BLOCKS and top and top.element[0] == "p":
+                pop()
+            ends = CLOSES.get(tag, ())
+            if any(opened.get(x) for x in ends):
+                place, passed = top, 0
+                while place and place.element[0] not in ends and place.element[0] not in KEEPS:
+                    place, passed = place.above, passed + 1
+                if place and place.element[0] in ends:
+                    for _ in range(passed + 1):
+                        pop()
+            if not (m[3].endswith("/") and tag in HIDDEN):
+                names = [w.lower() for x in _NAMED.finditer(m[3]) for w in _WORD.findall(_CASE.sub(" ", x[2] or x[3] or x[4] or ""))] if m[3] else []
+                while tag == "body" and top:
+                    pop()
+                top = Path(top, (tag, *names))
+                opened[tag] = opened.get(tag, 0) + 1
+                hidden += tag in HIDDEN
+                if tag in RAW:
+                    stop = _ENDS[tag].search(page, at)
+                    resume = at = stop.start() if stop else len(page)
+        try:
+            token = tokens.send(resume) if resume is not None else next(tokens)
+        except StopIteration:
+            token = None
+    said(at, len(page))
     flush()
     return out
 
@@ -135,21 +189,12 @@ def _slot(word: str, size: int, salt: int) -> int:
     return zlib.crc32(word.encode(), salt) % size
 
 
-@lru_cache(maxsize=4096)
-def _path_slots(path: tuple[tuple[str, ...], ...]) -> tuple[int, ...]:
-    """A path's words: tags, names, the innermost tag and name by themselves."""
-    words = {f"<{e[0]}" for e in path} | {w for e in path for w in e[1:]}
-    if path:
-        words |= {f"in<{path[-1][0]}"} | {f"in.{w}" for w in path[-1][1:]}
-    return tuple({_slot(w, PATH_SIZE, salt) for w in words for salt in (7, 77)})
-
-
-def vectors(found: list[tuple[str, list[tuple[str, ...]], float]]) -> np.ndarray:
-    """One row per block."""
+def vectors(found: list[tuple[str, Path | None, float]]) -> np.ndarray:
+    """One row per block: a path's words (tags, names, the innermost ones by themselves), text words, sizes."""
     x = np.zeros((len(found), SIZE), np.float32)
     at, rows = [], []
     for i, (text, path, linked) in enumerate(found):
-        slots = _path_slots(tuple(path))
+        slots = path.slots if path else ()
         at.extend(slots)
         rows.extend([i] * len(slots))
         words = text.lower().split()
@@ -158,7 +203,7 @@ def vectors(found: list[tuple[str, list[tuple[str, ...]], float]]) -> np.ndarray
             for w in part:
                 x[i, start + _slot(w, width, 3)] += share
         size = len(text)
-        x[i, PATH_SIZE + WORD_SIZE + LEAD_SIZE :] = (min(1.0, size / 400), min(1.0, size / 60), linked, text[-1] in ".!?", i / len(found), i == 0, len(path) / 10, "\u00a9" in text)
+        x[i, PATH_SIZE + WORD_SIZE + LEAD_SIZE :] = (min(1.0, size / 400), min(1.0, size / 60), linked, text[-1] in ".!?", i / len(found), i == 0, (path.depth if path else 0) / 10, "\u00a9" in text)
     x[rows, at] = 1
     return x
 

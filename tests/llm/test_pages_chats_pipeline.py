@@ -73,6 +73,24 @@ def test_blocks_of_broken_pages():
     assert html_extract.blocks("<script>never closed <p>x") == []
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<", "<div>x", "<div><p>y", "</p>", '<a "', "<a '\"", "<!--", "<b>z</i>", "<section><li>w", "<td><p></tr>", "&amp", "<script>", "<ul><li>"])
+def test_blocks_take_time_in_proportion(piece):
+    import time
+
+    page = "<p>start</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    found = html_extract.blocks(page)
+    assert time.process_time() - began < 5 and found[0][0] == "start"
+
+
+def test_a_megabyte_of_open_tags_in_a_second():
+    import time
+
+    began = time.process_time()
+    html_extract.blocks("<a " * 340_000)
+    assert time.process_time() - began < 1
+
+
 def test_labeller_on_composed_pages():
     net, composer, wrong, n = html_extract.model(), html_extract.Composer(123), 0, 0
     for _ in range(150):
@@ -86,7 +104,7 @@ def test_labeller_on_composed_pages():
 def test_every_word_of_a_block_reaches_the_labeller():
     opening = "by continuing to browse this site you agree "
     for late in (40, 4000):
-        one, two = ([(opening + "word " * late + end, [("div",)], 0.0)] for end in ("cookies.", "harvest."))
+        one, two = ([(opening + "word " * late + end, html_extract.path_of([("div",)]), 0.0)] for end in ("cookies.", "harvest."))
         assert not np.array_equal(html_extract.vectors(one), html_extract.vectors(two))
 
 
