@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -303,7 +304,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Names that authors give to parts of pages. Fixed values.
 NAMES = {
-    "menu": "nav menu navbar navigation main-menu breadcrumb breadcrumbs topnav links skip",
+    "menu": "nav menu navbar navigation main-menu breadcrumb breadcrumbs topnav links skip mw-navigation toc",
     "head": "header site-header masthead topbar logo branding banner tagline",
     "ad": "ad ads advert advertisement sponsored promo adsense banner-ad dfp ad-slot",
     "side": "sidebar side widget related related-posts recommended popular trending aside recent tags",
@@ -312,7 +313,7 @@ NAMES = {
     "comments": "comments comment comment-list reader-comments discussion responses replies disqus",
     "foot": "footer site-footer copyright colophon bottom legal credits",
     "share": "share social sharing share-buttons follow pagination pager",
-    "body": "content article post entry entry-content post-content article-body main-content story text body-text page-content",
+    "body": "content article post entry entry-content post-content article-body main-content story text body-text page-content bodyContent mw-content-text parser-output",
 }
 #: Words that such parts often hold. Fixed values.
 PHRASES = {
@@ -326,7 +327,8 @@ PHRASES = {
     "foot": "Copyright © All rights reserved Terms Privacy Imprint Contact ·",
     "share": "Share Tweet Facebook Print Email Next Previous Page",
 }
-SYLLABLES = "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve que la el os ar ung ein sch keit ment eau ier".split()
+#: What words are made of: any beginning, middle and end of a syllable.
+ONSETS, NUCLEI, CODAS = "b c d f g h j k l m n p r s t v w br ch cl dr fl gr pl pr sh st th tr".split(), "a e i o u ai au ea ei ie oo ou".split(), ["", "", "", "l", "m", "n", "r", "s", "t", "nd", "ng", "st"]
 
 
 class Composer:
@@ -340,10 +342,17 @@ class Composer:
 
     def words(self, low: int, high: int) -> str:
         n = int(self.r.integers(low, high + 1))
-        made = ["".join(self.one(SYLLABLES) for _ in range(int(self.r.integers(1, 4)))) for _ in range(n)]
-        if self.r.random() < 0.08:  # odd writing occurs inside and outside of articles
-            odd = self.one(["{} |", "{}%%%", "{}&&&", "{}###", "{}!!", "{} {} {}"])
-            made = [odd.replace("{}", w) for w in made]
+        made = ["".join(self.one(ONSETS) + self.one(NUCLEI) + self.one(CODAS) for _ in range(int(self.r.integers(1, 4)))) for _ in range(n)]
+        roll = self.r.random()
+        if roll < 0.06:  # odd writing occurs inside and outside of articles: marks after words, capitals, numbers, words said again
+            mark = "".join(self.one(list(string.punctuation)) for _ in range(int(self.r.integers(1, 4))))
+            made = [w + self.one(["", " "]) + mark for w in made]
+        elif roll < 0.08:
+            made = [w.upper() for w in made]
+        elif roll < 0.10:
+            made = [w if self.r.random() < 0.6 else str(int(self.r.integers(10**6))) for w in made]
+        elif roll < 0.12:
+            made = [w for w in made[: max(1, n // 3)] for _ in range(3)]
         text = " ".join(made)
         return (text.capitalize() + self.one([".", ".", ".", "!", "?", ""])) if n > 3 else text
 
@@ -380,13 +389,33 @@ class Composer:
             inner = self.box("p", None, [say()]) if self.r.random() < 0.5 else [say()]
         return self.box(tag, named, inner)
 
-    def article(self) -> list:
+    def table(self) -> list:
+        """A table of the article: a caption at times, a row of heads, rows of cells."""
+        wide, row = int(self.r.integers(2, 5)), lambda tag, n: self.box("tr", None, [x for _ in range(n) for x in self.box(tag, None, [(self.words(1, 6), 1)])])
+        inner = self.box("caption", None, [(self.words(2, 8), 1)]) if self.r.random() < 0.3 else []
+        rows = [*(row("th", wide) if self.r.random() < 0.6 else []), *(x for _ in range(int(self.r.integers(1, 5))) for x in row("td", wide))]
+        return self.box("table", self.one([None, None, "data", "infobox", "table"]), [*inner, *(self.box("tbody", None, rows) if self.r.random() < 0.5 else rows)])
+
+    def article(self, plain: bool = False) -> list:
+        """A title and what follows it; `plain` without boilerplate in between."""
         out = []
         if self.r.random() < 0.9:
-            out += self.box(self.one(["h1", "h1", "h1", "h2"]), self.one([None, None, "title", "headline"]), [(self.words(2, 18), 1)])
+            out += self.box(self.one(["h1", "h1", "h1", "h2"]), self.one([None, None, "title", "headline", "firstHeading"]), [(self.words(2, 18), 1)])
+            if self.r.random() < 0.12 and not plain:
+                out = self.box("header", self.one([None, "entry-header", "article-header"]), out)
         for _ in range(int(self.r.integers(1, 14))):
             roll = self.r.random()
-            if roll < 0.75:
+            if roll < 0.12:
+                kind = self.one(["table", "figure", "dl", "pre", "code"])
+                if kind == "table":
+                    out += self.table()
+                elif kind == "figure":
+                    out += self.box("figure", self.one([None, "image", "thumb"]), ['<img src="/i.png">', *self.box("figcaption", None, [(self.words(2, 20), 1)])])
+                elif kind == "dl":
+                    out += self.box("dl", None, [x for _ in range(int(self.r.integers(1, 5))) for x in [*self.box("dt", None, [(self.words(1, 3), 1)]), *self.box("dd", None, [(self.words(3, 20), 1)])]])
+                else:
+                    out += self.box("pre", None, [*(["<code>"] if kind == "code" else []), (self.words(1, 12), 1), *(["</code>"] if kind == "code" else [])])
+            elif roll < 0.75 or plain:
                 out += self.box("p", None, [(self.words(2, 120), 1)])
             elif roll < 0.82:
                 out += self.box(self.one(["h2", "h3"]), None, [(self.words(1, 8), 1)])
@@ -403,8 +432,14 @@ class Composer:
     def page(self) -> tuple[list, list[int]]:
         """The blocks of a page and their labels."""
         tag, name = self.one([("article", None), ("article", None), ("article", self.one(NAMES["body"].split())), ("main", None), ("div", self.one(NAMES["body"].split())), ("div", self.one(NAMES["body"].split())), ("section", self.one(NAMES["body"].split()))])
-        core = self.box(tag, name, self.article())
-        if self.r.random() < 0.3:
+        bare = self.r.random() < 0.08
+        core = self.article(plain=True) if bare else self.box(tag, name, self.article())
+        if bare:
+            core = core if self.r.random() < 0.5 else self.box("div", None, core)
+        elif self.r.random() < 0.2:  # containers within containers
+            for _ in range(int(self.r.integers(1, 3))):
+                core = self.box("div", self.one(NAMES["body"].split()), core)
+        elif self.r.random() < 0.3:
             core = self.box(self.one(["main", "div"]), self.one([None, "main", "wrapper", "container"]), [*core, *(self.part("comments", "section") if self.r.random() < 0.4 else [])])
         before = [("menu", "nav"), ("head", "header"), ("ad", "div"), ("notice", "div"), ("form", "form"), ("side", "aside"), ("share", "div")]
         after = [("foot", "footer"), ("comments", "section"), ("side", "aside"), ("ad", "div"), ("form", "form"), ("notice", "div"), ("share", "div")]

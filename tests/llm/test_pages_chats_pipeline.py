@@ -108,6 +108,36 @@ def test_every_word_of_a_block_reaches_the_labeller():
         assert not np.array_equal(html_extract.vectors(one), html_extract.vectors(two))
 
 
+def written_pages():
+    """Pages written by hand, by kind, with the blocks of their main text."""
+    kinds = {}
+    menu = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>'
+    foot = '<footer><p>© 2024 Example. All rights reserved.</p></footer>'
+    say = lambda n, s=0: " ".join(("The river rises in the northern hills and flows past several old towns before it reaches the sea".split()*9)[s:s+n])+"."
+    kinds["wiki"] = (f'<body><div id="mw-navigation">{menu}</div><div id="content"><h1 id="firstHeading">River of the north</h1><div id="bodyContent"><div id="mw-content-text"><p>{say(40)}</p><h2>Course</h2><p>{say(30,3)}</p><ul><li>{say(8)}</li><li>{say(6,2)}</li></ul><table class="infobox"><tr><th>Length</th><td>120 km</td></tr></table><h2>History</h2><p>{say(35,7)}</p></div></div></div><div id="footer">{foot}</div></body>',
+    ["River of the north",say(40),"Course",say(30,3),say(8),say(6,2),"Length","120 km","History",say(35,7)])
+    kinds["bare"] = (f"<body><h1>A short story</h1><p>{say(40)}</p><p>{say(30,2)}</p></body>",["A short story",say(40),say(30,2)])
+    kinds["bare+nav"] = (f"<body>{menu}<h1>A short story</h1><p>{say(40)}</p><p>{say(30,2)}</p>{foot}</body>",["A short story",say(40),say(30,2)])
+    kinds["pre"] = (f"<body>{menu}<article><h1>Install guide</h1><p>{say(20)}</p><pre>pip install</pre><p>{say(20,4)}</p></article>{foot}</body>",["Install guide",say(20),"pip install",say(20,4)])
+    kinds["maintable"] = (f"<body>{menu}<main><table><tr><td>{say(14)}</td><td>{say(12,5)}</td></tr></table></main>{foot}</body>",[say(14),say(12,5)])
+    kinds["arthead"] = (f"<body><header><p>Site name</p></header>{menu}<article><header><h1>The headline of the day</h1></header><p>{say(40)}</p><p>{say(25,6)}</p></article>{foot}</body>",["The headline of the day",say(40),say(25,6)])
+    kinds["figure"] = (f'<body>{menu}<article><h1>Pictures</h1><p>{say(22)}</p><figure><img src="x"><figcaption>A view of the bridge</figcaption></figure><p>{say(18,3)}</p></article>{foot}</body>',["Pictures",say(22),"A view of the bridge",say(18,3)])
+    kinds["dl"] = (f'<body>{menu}<div class="entry-content"><h1>Glossary</h1><dl><dt>Source</dt><dd>{say(9)}</dd><dt>Mouth</dt><dd>{say(11,4)}</dd></dl></div>{foot}</body>',["Glossary","Source",say(9),"Mouth",say(11,4)])
+    kinds["blog"] = (f'<body><div class="site-header">My blog</div>{menu}<div class="post"><h2 class="title">On rivers</h2><p>{say(33)}</p><blockquote><p>{say(12)}</p></blockquote><p>{say(20,8)}</p></div><div class="comments"><h3>Comments</h3><div class="comment"><p>Great post thanks</p></div></div><div class="sidebar"><h3>Recent posts</h3><ul><li><a href="x">Old one</a></li></ul></div>{foot}</body>',["On rivers",say(33),say(12),say(20,8)])
+    kinds["divsoup"] = (f'<body><div id="top"><a href="/">Home</a> <a href="/n">News</a></div><div class="cookie-banner">We use cookies. Accept</div><div class="wrapper"><div class="story"><h1>Long read</h1><div>{say(45)}</div><div>{say(38,4)}</div></div></div><div id="bottom">Imprint Privacy</div></body>',["Long read",say(45),say(38,4)])
+    return kinds
+
+
+def test_kinds_of_pages_written_by_hand():
+    """Of all blocks of ten kinds of page nine tenths are found (39 of 41 when this was written), and none that is no article."""
+    net, found, wanted = html_extract.model(), 0, 0
+    for page, want in written_pages().values():
+        got = [x for x in html_extract.texts(net, [page])[0].split("\n\n") if x]
+        assert not set(got) - set(want)
+        found, wanted = found + sum(x in got for x in want), wanted + len(want)
+    assert found >= 0.9 * wanted
+
+
 def test_extraction_of_the_sample_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_extract.extracted(rows.withColumn("_html", rows.url)).collect()}
