@@ -24,8 +24,8 @@ only sees the frequent n-grams, at most FREQUENT of them, which set the order.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
 fewer words than n make one n-gram of all of them; doc_id names a text, and rows that repeat it give
-repeated rows; a null doc_id takes no part; an empty table gives no rows; further
-columns are ignored.
+repeated rows; a row with a null doc_id links nobody, and has the component of the documents with an
+equal set, or null; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from isoloom.llm import textkernel as K
 from isoloom.operators.components import components
-from isoloom.runtime import prepare, written
+from isoloom.runtime import discard, prepare, written
 
 #: Most n-grams that the order puts last; 8 bytes each go to every task.
 FREQUENT = 100_000
@@ -201,7 +201,7 @@ PAIRS = "kind tinyint, a long, b long, a_size long, b_size long, n long"
 
 def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(doc_id, keys) of every document in the pairs, made once and written."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +210,10 @@ def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc_id", "keys"])
 
     # The same plan at every size: the ids grow with the corpus, so they are never broadcast.
-    made = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, keys binary")
-    return written(made.dropDuplicates(["doc_id"]), "sets")
+    made = docs.select("doc_id", "text").join(named.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, keys binary")
+    out = written(made.dropDuplicates(["doc_id"]), "sets")
+    discard(named)
+    return out
 
 
 def verified(pairs: DataFrame, made: DataFrame, num: int, den: int) -> DataFrame:
@@ -260,11 +262,11 @@ def classes(docs: DataFrame, n: int, num: int, den: int, frequent) -> DataFrame:
 def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int = LONG, block: int = BLOCK, survey: int = SURVEY_TIMES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links need a similarity of num / den."""
     spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(frequent_keys(docs, n, times=survey))
     table = written(classes(docs, n, num, den, frequent), "sets")
     rows = table.select("doc_id", "n_shingles", "d1", "d2")
-    full = rows.where("n_shingles > 0")
+    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     leaders = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("leader")), "leaders")
     chosen = table.join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "prefix")
 
@@ -296,7 +298,9 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
     stars = written(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "stars")
     links, label = None, spark.createDataFrame([], "doc_id long, component long")
     if not stars.isEmpty():
-        links = written(verified(stars, sets_of(docs, stars, n), num, den), "links")
+        sets = sets_of(docs, stars, n)
+        links = written(verified(stars, sets, num, den), "links")
+        discard(sets)
         label = components(links).select(F.col("node").alias("doc_id"), "component")
     # Columns with the same head are multiplied together: a document is there once, with its n-grams.
     marked = column.join(heads.select("key", F.col("head.doc_id").alias("head")), "key")
@@ -311,14 +315,17 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
     needed = F.expr(f"({num} * (x + y) + {num + den - 1}) div {num + den}")
     rest = lambda c: F.expr(f"({num} * {c} + {den - 1}) div {den} - 1")
     likely = written(totals.where(F.col("n") + F.greatest(rest("x"), rest("y")) >= needed).select("a", "b", "n"), "likely")
+    discard(product, column, stars)
     # Each document with the one it shares most with first: what these links join needs no further pair.
     made = sets_of(docs, likely, n)
     ends = likely.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "n"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "n"))).alias("e")).select("e.*")
     nearest = ends.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     near = verified(nearest, made, num, den)
     links = written(near if links is None else near.unionByName(links), "links")
-    found = verified(written(apart(likely, components(links)), "apart"), made, num, den)
-    label = components(written(found.unionByName(links), "links")).select(F.col("node").alias("leader"), "component")
+    open_pairs = written(apart(likely, components(links)), "apart")
+    last = written(verified(open_pairs, made, num, den).unionByName(links), "links")
+    discard(likely, made, links, open_pairs)
+    label = components(last).select(F.col("node").alias("leader"), "component")
     named = leaders.join(label, "leader", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "leader").alias("component_id"))
     return rows.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -53,13 +53,16 @@ START_GOOD, START_BAD, START_SHARE = (0.01, 0.09, 0.90), (0.30, 0.20, 0.50), 0.8
 _SPACES = r"[ \x09-\x0D]+"
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of each text: words, characters, symbols, lines, repeats."""
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+def counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the counts of each text: words, characters, symbols, lines, repeats; the columns `keep` as one, row."""
+    row = [F.struct(*keep).alias("row")] if keep else []
+    t = docs.select("doc_id", *row, F.coalesce("text", F.lit("")).alias("t"))
     number = lambda c: f"(octet_length(t) - octet_length(replace(t, '{c}', '')))"
     listed = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+    row = ["row"] if keep else []
     split = t.select(
         "doc_id",
+        *row,
         F.filter(F.split("t", _SPACES), lambda w: w != "").alias("words"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")).alias("lines"),
         F.expr("+".join(map(number, "#*$%&|<>"))).cast("long").alias("n_symbols"),
@@ -75,6 +78,7 @@ def counts(docs: DataFrame) -> DataFrame:
         aggregate(sequence(0, size(f) - 1), 0, (a, k) -> a + least({WINDOW}, coalesce(get(f, k + 1) - f[k], {WINDOW}))))[0])[0]"""
     return windowed.select(
         "doc_id",
+        *row,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -124,9 +128,9 @@ def accuracies(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     return fitted(patterns, iterations).select(each).select("e.*")
 
 
-def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, the votes' pattern, posterior, kept: one row per document."""
-    voted = written(counts(docs).withColumn("pattern", F.expr(f"CAST({pattern_sql()} AS int)")), "votes")
+def judged(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the counts, base_failed, the votes' pattern, posterior, kept: one row per document, with the columns `keep` as row."""
+    voted = written(counts(docs, keep).withColumn("pattern", F.expr(f"CAST({pattern_sql()} AS int)")), "votes")
     posterior = estimated(voted.groupBy("pattern").agg(F.count("*").alias("n")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = voted.join(F.broadcast(posterior), "pattern").withColumn("base_failed", failed)

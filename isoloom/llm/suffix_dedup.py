@@ -22,7 +22,7 @@ compared by digest in a plain aggregation instead, and nothing is dropped.
 
 Defined results: a null or empty text has nothing to remove; texts shorter than `length` are left
 whole; doc_id names a text, so rows that repeat a doc_id are one text and give repeated rows;
-a null doc_id takes no part; an empty table gives no rows; further columns are ignored.
+a text with a null doc_id is left whole and repeats nobody; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -406,7 +406,9 @@ def covered(locs: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.nd
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = SHARD_SEGMENTS, shard_bytes: int = SHARD_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, the extra columns, marks): every document with the locations of its repeats."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_x_{c}") for c in extra)).where("doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_x_{c}") for c in extra))
+    nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+    plain = nameless.select("doc_id", "text", *(F.col(f"_x_{c}").alias(c) for c in extra), F.array().cast("array<long>").alias("marks"))
     found = docs.select("doc_id", "text").mapInArrow(lambda it: _anchored(it, length, gram), ANCHORS)
     compared = found.repartition("h").sortWithinPartitions("h", "s", "doc_id", "loc").mapInArrow(lambda it: _compared(it, most), "kind tinyint, h long, doc_id long, loc long")
     ours = written(compared.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("loc"))).alias("marks"), F.collect_list(F.when(F.col("kind") > 0, F.struct("kind", "h", "loc"))).alias("open")), "repeats")
@@ -418,7 +420,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     if not ours.where("exists(open, x -> x.kind = 2)").isEmpty():
         edges = edges.unionByName(_crowded(segments.where("kind = 2"), length))
     more = edges.groupBy("doc_id").agg(F.collect_list("loc").alias("more"))
-    return texts.join(more, "doc_id", "left").select("doc_id", "text", *(F.col(f"_x_{c}").alias(c) for c in extra), F.concat(F.coalesce("marks", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>"))).alias("marks"))
+    out = texts.join(more, "doc_id", "left").select("doc_id", "text", *(F.col(f"_x_{c}").alias(c) for c in extra), F.concat(F.coalesce("marks", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>"))).alias("marks"))
+    return out.unionByName(plain)
 
 
 def _crowded(segments: DataFrame, length: int) -> DataFrame:

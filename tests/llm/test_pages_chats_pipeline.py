@@ -172,6 +172,19 @@ def test_chat_pairs(spark):
     assert chat.pairs(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_chat_very_long_text_and_hot_opening(spark):
+    rows = [(i, 0, "user", "same opening") for i in range(300)] + [(i, 1, "assistant", "w " * (i + 1)) for i in range(300)] + [(999, 0, "user", "long"), (999, 1, "assistant", "y" * 400_000)]
+    got = chat.pairs(spark.createDataFrame([(*r, "t", "s") for r in rows], TURNS)).collect()
+    assert {(r.chosen_id, r.rejected_id) for r in got if r.kind == "pair"} == {(299, i) for i in range(299)}
+    assert [len(r.chosen) for r in got if r.kind == "single"] == [400_000 + len("<|assistant|>\n<|end|>\n")]
+
+
+def test_repeated_pages(spark):
+    rows = [(1, "u", "<article><p>one two three four five.</p></article>")] * 3 + [(1, "v", None)]
+    got = sorted((r.page_id, r.url, r.text) for r in html_extract.extracted(pages(spark, rows)).collect())
+    assert len(got) == 4 and len(set(got)) == 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
@@ -207,6 +220,38 @@ def test_pipeline_keeps_clean_documents(spark):
     assert {r.doc_id for r in packed} == ids[3]
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Near copies against all pairs, substrings against all windows, packing against the library; rows pass filters by themselves."""
+    import corpus_pipeline
+    from test_text_operators import TOKENIZER, corpus, linked_by_hand
+
+    sf, stages = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    rows = corpus(23, 80)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [*rows, rows[0], (None, rows[0][1])]], "doc_id long, text string, lang string, source string, n_chars long")
+    apart = stages["near_copies"](spark, docs, sf).collect()
+    links = linked_by_hand(rows, 5, 80, 100)
+    assert sorted((r.doc_id is None, r.doc_id) for r in apart) == sorted([*((False, i) for i, (_, c) in links.items() if c == i), (True, None)])
+    cut = stages["substrings"](spark, spark.createDataFrame(apart, docs.schema), sf).collect()
+    seen, want = set(), {None: rows[0][1]}
+    for i, text in sorted((r.doc_id, r.text) for r in apart if r.doc_id is not None):
+        b, hit = text.encode(), bytearray(len(text.encode()))
+        for k in range(len(b) - 99):
+            w = b[k : k + 100]
+            if w in seen:
+                hit[k : k + 100] = b"\1" * 100
+            seen.add(w)
+        want[i] = bytes(x for x, h in zip(b, hit, strict=True) if not h).decode(errors="ignore")
+    assert {r.doc_id: r.text for r in cut} == want and all(r.n_chars == len(r.text) for r in cut)
+    from tokenizers import Tokenizer
+
+    library, tokens = Tokenizer.from_file(TOKENIZER), {}
+    for r in stages["packing"](spark, spark.createDataFrame(cut, docs.schema), sf).collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    assert tokens == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
+    both = spark.createDataFrame([(7, "the of and to in is that for with was on are it be as at by this from or " * 1 + " ".join(f"word{i}" for i in range(60)), "en", "s", 1), (7, "##!! " * 30, "en", "s", 1)], docs.schema)
+    assert [r.text[:3] for r in stages["quality"](spark, both, sf).collect()] == ["the"]
+
+
 def test_pipeline_of_odd_rows(spark):
     import corpus_pipeline
 

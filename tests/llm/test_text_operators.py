@@ -89,9 +89,11 @@ def removed_by_hand(rows, length):
 @pytest.mark.parametrize("most", [20_000, 1])
 def test_suffix_dedup_against_all_windows(spark, most):
     rows = [*corpus(3), *ODD[:-1], (2000, "ab" * 400), (2001, "é" * 300)]
-    got = suffix_dedup.digests(table(spark, [*rows, ODD[-1]]).repartition(5), most=most, shard_bytes=3000).collect()
-    assert {r[0]: tuple(r)[1:] for r in got} == removed_by_hand(rows, 100)
-    assert len(got) == len(rows)
+    nameless = (None, rows[0][1] * 3)
+    got = suffix_dedup.digests(table(spark, [*rows, nameless]).repartition(5), most=most, shard_bytes=3000).collect()
+    size = len(nameless[1].encode())
+    assert {r[0]: tuple(r)[1:] for r in got} == {**removed_by_hand(rows, 100), None: (size, 0, 0, hashlib.sha256(nameless[1].encode()).hexdigest())}
+    assert len(got) == len(rows) + 1
 
 
 def test_suffix_dedup_repeated_rows_and_empty(spark):
@@ -131,8 +133,11 @@ def linked_by_hand(rows, n, num, den):
 @pytest.mark.parametrize("parameters", [{}, {"long": 3, "block": 2}, {"survey": 2, "block": 3}])
 def test_ngram_join_against_all_pairs(spark, parameters):
     rows = [*corpus(5, 90), *ODD[:-1]]
-    got = ngram_join.joined(table(spark, [*rows, ODD[-1]]), 4, 85, 100, **parameters).collect()
-    assert {r[0]: (r[1], r[2]) for r in got} == linked_by_hand(rows, 4, 85, 100)
+    want = linked_by_hand(rows, 4, 85, 100)
+    for text, component in (("no id", None), (rows[3][1], want[rows[3][0]][1])):
+        got = ngram_join.joined(table(spark, [*rows, (None, text)]), 4, 85, 100, **parameters).collect()
+        assert {r[0]: (r[1], r[2]) for r in got if r[0] is not None} == want
+        assert [r[2] for r in got if r[0] is None] == [component]
 
 
 def test_ngram_join_group_headed_by_a_much_longer_document(spark):
@@ -264,6 +269,24 @@ def test_quality_counts_and_edges(spark):
     assert quality.judged(table(spark, [])).collect() == []
 
 
+def test_quality_repeated_rows_and_very_long_texts(spark):
+    r = random.Random(21)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(120_000))
+    rows = [(1, "a b c " * 30), (1, "a b c " * 30), (1, "other text of the same id"), (2, long), (3, "x" * 300_000)]
+    got = quality.judged(table(spark, rows), keep=("doc_id", "text", "lang")).collect()
+    assert sorted((g.doc_id, g.n_words) for g in got) == [(1, 6), (1, 90), (1, 90), (2, 120_000), (3, 1)]
+    assert all(g.row.text == dict(enumerate(t for _, t in rows))[i] for g in got for i in [next(k for k, (_, t) in enumerate(rows) if t == g.row.text)])
+    assert next(g for g in got if g.doc_id == 2).n_repeat_words == 0
+
+
+def test_quality_accuracies_follow_the_votes(spark):
+    """The prior is worth ten documents: where many vote, the estimate is theirs."""
+    patterns = [(sum(2 * 3**i for i in range(len(quality.RULES))), 50_000), (sum(2 * 3**i for i in range(1, len(quality.RULES))), 10_000)]
+    got = {(r.rule, r.vote): r for r in quality.accuracies(spark.createDataFrame(patterns, "pattern int, n long")).collect()}
+    assert abs(got["shouting", 1].good - 1) < 0.001 and got["shouting", 1].good != 0.9
+    assert abs(sum(got["symbols", v].good for v in (-1, 0, 1)) - 1) < 1e-9
+
+
 def test_quality_prefers_clean_texts(spark):
     rows = corpus(11, 60)
     clean = [(i, " ".join(f"the {w} of" for w in t.split())) for i, t in rows if len(t.split()) > 30]
@@ -383,6 +406,36 @@ def test_media_round_trip(spark):
     assert all(r.error is None and r.width == 24 for r in media.features(images).collect())
 
 
+def test_media_feature_against_a_plain_computation(spark):
+    """The difference hash from cell means added up sample by sample, in fractions."""
+    from fractions import Fraction
+
+    rows = [*corpus(19, 8), (700, ""), (700, ""), (701, "z" * 4000)]
+    got = {r.doc_id: r.feature for r in media.digests(table(spark, rows)).collect()}
+    assert media.digests(table(spark, rows)).count() == len(rows)
+
+    def share(i, n, cells):  # how much of cell c (of `cells` over n samples) sample i is
+        return {c: part for c in range(i * cells // n, ((i + 1) * cells - 1) // n + 1) if (part := min(Fraction(i + 1), Fraction((c + 1) * n, cells)) - max(Fraction(i), Fraction(c * n, cells))) > 0}
+
+    for i, text in dict(rows).items():
+        b = text.encode()
+        b = b.ljust(max(1, -(-len(b) // 576)) * 576, b"\xff")
+        high, wide = len(b) // 24, 24
+        down, along = [share(y, high, 8) for y in range(high)], [share(x, wide, 9) for x in range(wide)]
+        cells = [[Fraction(0)] * 9 for _ in range(8)]
+        for y in range(high):
+            line = [Fraction(0)] * 9
+            for x in range(wide):
+                for c, part in along[x].items():
+                    line[c] += part * b[y * wide + x]
+            for r, part in down[y].items():
+                for c in range(9):
+                    cells[r][c] += part * line[c]
+        area = Fraction(high, 8) * Fraction(wide, 9)
+        bits = "".join("1" if round(float(row[c] / area), 6) < round(float(row[c + 1] / area), 6) else "0" for row in cells for c in range(8))
+        assert got[i] == f"{int(bits, 2):016x}"
+
+
 def test_media_formats_and_area_resize():
     r = np.random.default_rng(3)
     grey = r.integers(0, 256, (37, 23), dtype=np.uint8)
