@@ -6,8 +6,10 @@ near_copies   of each group of documents linked by word 5-grams at 0.8 the small
 substrings    repeated strings of 100 bytes are cut out of the texts
 packing       what is left is packed into sequences
 
-Every stage but the last returns the columns of documents. A null doc_id leaves at near_copies; a
-text that is cut keeps only whole characters, and n_chars tells its new length.
+Every stage but the last returns the columns of documents. Rows are judged each on its own, without a
+join, but for near copies: there doc_id names a text, of rows that repeat one stays, and a row with a
+null doc_id stays as nobody's copy. A text that is cut keeps only whole characters, and n_chars tells
+its new length.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoloom.llm import ngram_join, packing, quality, suffix_dedup, toxicity
-from isoloom.runtime import prepare, written
+from isoloom.runtime import discard, prepare, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,13 +35,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = quality.judged(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(verdict, "doc_id", "left_semi").select(*COLUMNS)
+    return quality.judged(docs, keep=COLUMNS).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
     first = ngram_join.joined(docs, n=5, num=80, den=100).where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each written and read again but the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
