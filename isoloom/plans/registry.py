@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoloom.functions import dna
 from isoloom.operators import cluster as C
+from isoloom.operators import ends, placement
 from isoloom.operators import minimizers as M
 from isoloom.operators import relational as R
+from isoloom.operators import seeds as kernels
 from isoloom.operators.components import components
 from isoloom.operators.isoforms import isoforms
+from isoloom.operators.merge import primed
 from isoloom.operators.seeds import BASE_HASH, seeds
 from isoloom.options import ClusterOptions, IsoformOptions
 from isoloom.plans.fixture import MINIMIZERS_SQL, READS_SQL, genes, minimizers, reads
 from isoloom.plans.pipeline import isoform_counts
-from isoloom.runtime import written
+from isoloom.runtime import prepare, written
 from isoloom.sources import sinks as S
 
 QUERIES: dict = {}
@@ -44,6 +51,21 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("true_gene", "true_isoform", "read_idx", F.col("true_start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
+def _mapped(table: DataFrame, names: list[str], schema: str, f) -> DataFrame:
+    """`f` of the named columns of each row gives a tuple of the schema: runs a kernel as the commands do, on Arrow batches."""
+    prepare(table.sparkSession)
+    into = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [f(*row) for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True)]
+            yield pa.RecordBatch.from_pylist([dict(zip(into, r, strict=True)) for r in rows], schema=pa.schema([(n, _ARROW[k]) for n, k in (x.split() for x in schema.split(", "))]))
+
+    return table.select(*names).mapInArrow(run, schema)
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+
 _PLACED = 'placed AS (SELECT true_gene, true_isoform, read_idx, true_start::BIGINT AS start, "end"::BIGINT AS "end" FROM reads)'
 _GROUP = ["true_gene", "true_isoform"]
 
@@ -58,9 +80,16 @@ def reverse_complement(spark, sf_dir):
     return reads(spark, sf_dir).select("read_idx", F.md5(dna.reverse_complement(F.col("seq"))).alias("rc_md5"))
 
 
-@query(f"SELECT read_idx, {' + '.join(f'''(instr('ACGT', substr(seq, {i}, 1)) - 1) * {4 ** (15 - i)}::BIGINT''' for i in range(1, 16))} AS kmer FROM reads")
+_ALL_KMERS = "(SELECT read_idx, seq, unnest(range(length(seq) - {k} + 1)) AS pos FROM reads)"
+
+
+@query(f"""SELECT read_idx, count(*) AS n_kmers, sum({' + '.join(f"(instr('ACGT', substr(seq, pos::INT + {i}, 1)) - 1) * {4 ** (15 - i)}::BIGINT" for i in range(1, 16))})::BIGINT AS kmer_sum FROM {_ALL_KMERS.format(k=15)} GROUP BY read_idx""")
 def kmer_encoding(spark, sf_dir):
-    return reads(spark, sf_dir).select("read_idx", dna.encode(F.substring("seq", 1, 15)).alias("kmer"))
+    def one(i, seq):
+        v = kernels.kmer_values(kernels.codes(seq), 15)
+        return i, len(v), int(v.sum())
+
+    return _mapped(reads(spark, sf_dir), ["read_idx", "seq"], "read_idx long, n_kmers long, kmer_sum long", one)
 
 
 def _rotated(h: int, by: int) -> int:
@@ -75,35 +104,39 @@ def _smer_sql(at: str, s: int = 9) -> str:
     return out
 
 
-@query(f"SELECT read_idx, ({_smer_sql('1')})::VARCHAR AS hash FROM reads")
+@query(f"SELECT read_idx, count(*) AS n_smers, bit_xor({_smer_sql('pos::INT + 1')})::VARCHAR AS hash_xor, min({_smer_sql('pos::INT + 1')})::VARCHAR AS hash_min FROM {_ALL_KMERS.format(k=9)} GROUP BY read_idx")
 def smer_hash(spark, sf_dir):
-    return reads(spark, sf_dir).select("read_idx", dna.as_unsigned(dna.smer_hash(F.col("seq"), 1, 9)).alias("hash"))
+    def one(i, seq):
+        h = kernels.smer_hashes(kernels.codes(seq), 9)
+        return i, len(h), str(int(np.bitwise_xor.reduce(h))), str(int(h.min()))
+
+    return _mapped(reads(spark, sf_dir), ["read_idx", "seq"], "read_idx long, n_smers long, hash_xor string, hash_min string", one)
 
 
 @query(f"""sm AS (SELECT read_idx, pos, {_smer_sql('pos::INT + 1')} AS h FROM (SELECT read_idx, seq, unnest(range(length(seq) - 8)) AS pos FROM reads)),
 w AS (SELECT read_idx, pos, count(*) OVER f AS n, min(lpad(h::VARCHAR, 20, '0') || lpad(pos::VARCHAR, 6, '0')) OVER f AS m FROM sm WINDOW f AS (PARTITION BY read_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING))
 SELECT read_idx, count(*) AS n_syncmers, sum(pos)::BIGINT AS pos_sum FROM w WHERE n = 7 AND substr(m, 21)::BIGINT = pos + 3 GROUP BY read_idx""")
 def open_syncmers(spark, sf_dir):
-    from collections.abc import Iterator
+    def one(i, seq):
+        at, _ = kernels.syncmers(seq, 15, 9, 3)
+        return i, len(at), int(at.sum())
 
-    import numpy as np
-    import pyarrow as pa
-
-    from isoloom.operators.seeds import codes, smer_hashes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [smer_hashes(codes(s), 9).view(np.int64) for s in b.column("seq").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("read_idx").to_numpy(), [len(x) for x in h])), pa.array(np.concatenate([np.arange(len(x)) for x in h]).astype(np.int32)), pa.array(np.concatenate(h))], names=["read_idx", "pos", "h"])
-
-    smers = reads(spark, sf_dir).select("read_idx", "seq").mapInArrow(run, "read_idx long, pos int, h long")
-    return R.open_syncmers(smers, 15, 9, 3).groupBy("read_idx").agg(F.count("*").alias("n_syncmers"), F.sum("pos").alias("pos_sum"))
+    return _mapped(reads(spark, sf_dir), ["read_idx", "seq"], "read_idx long, n_syncmers long, pos_sum long", one).where("n_syncmers > 0")
 
 
 @query("""l AS (SELECT true_gene, read_idx, length(seq) AS len, lag(length(seq)) OVER w AS a, lead(length(seq)) OVER w AS b FROM reads WINDOW w AS (PARTITION BY true_gene ORDER BY read_idx))
 SELECT read_idx, (coalesce(len < a, true) AND coalesce(len < b, true)) AS is_min, (coalesce(len > a, true) AND coalesce(len > b, true)) AS is_max FROM l""")
 def local_extremes(spark, sf_dir):
-    return R.local_extremes(reads(spark, sf_dir), ["true_gene"], "read_idx", "len").select("read_idx", "is_min", "is_max")
+    lists = reads(spark, sf_dir).groupBy("true_gene").agg(F.sort_array(F.collect_list(F.struct("read_idx", F.col("len").alias("v")))).alias("x")).select(F.col("x.read_idx").alias("i"), F.col("x.v").alias("v"))
+    prepare(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, v in zip(batch.column("i"), batch.column("v"), strict=True):
+                low, high = kernels.local_extremes(v.as_py())
+                yield pa.RecordBatch.from_arrays([i.values, pa.array(low), pa.array(high)], names=["read_idx", "is_min", "is_max"])
+
+    return lists.mapInArrow(run, "read_idx long, is_min boolean, is_max boolean")
 
 
 @query("SELECT read_idx, kmer, pos FROM mz", MINIMIZERS_SQL)
@@ -231,7 +264,8 @@ _TAILED = "repeat('A', (read_idx % 16)::INT) || seq || repeat(CASE WHEN read_idx
 FROM (SELECT read_idx, right({_TAILED}, 12) AS t FROM reads)""")
 def homopolymer_tails(spark, sf_dir):
     tailed = F.expr(_TAILED.replace("::INT", "").replace("(read_idx % 16)", "int(read_idx % 16)").replace("(read_idx % 20)", "int(read_idx % 20)"))
-    return reads(spark, sf_dir).select("read_idx", tailed.alias("t")).select("read_idx", dna.is_tail(F.expr("right(t, 12)")).alias("is_tail"))
+    ends_ = reads(spark, sf_dir).select("read_idx", tailed.alias("t")).select("read_idx", F.expr("right(t, 12)").alias("t"))
+    return _mapped(ends_, ["read_idx", "t"], "read_idx long, is_tail boolean", lambda i, t: (i, placement.is_tail(t)))
 
 
 def _strip_sql(x: str) -> str:
@@ -244,7 +278,7 @@ def _strip_sql(x: str) -> str:
 @query(f"t AS (SELECT read_idx, {_TAILED} AS t FROM reads), e AS (SELECT read_idx, length(t) AS before, t, length(t) - length(regexp_replace(t, '[Aa]+$', '')) AS n FROM t), f AS (SELECT *, CASE WHEN n > 10 THEN left(t, (length(t) - n + 1)::INT) ELSE t END AS u FROM e), g AS (SELECT *, length(u) - length(regexp_replace(u, '^[Aa]+', '')) AS m FROM f) SELECT read_idx, length(CASE WHEN m > 10 THEN substr(u, m::INT) ELSE u END)::INT AS len, md5(CASE WHEN m > 10 THEN substr(u, m::INT) ELSE u END) AS stripped_md5 FROM g")
 def strip_tails(spark, sf_dir):
     tailed = F.expr(_TAILED.replace("::INT", "").replace("(read_idx % 16)", "int(read_idx % 16)").replace("(read_idx % 20)", "int(read_idx % 20)"))
-    cut = reads(spark, sf_dir).select("read_idx", dna.strip_tails(tailed).alias("s"))
+    cut = _mapped(reads(spark, sf_dir).select("read_idx", tailed.alias("t")), ["read_idx", "t"], "read_idx long, s string", lambda i, t: (i, placement.strip_tails(t)))
     return cut.select("read_idx", F.length("s").alias("len"), F.md5("s").alias("stripped_md5"))
 
 
@@ -267,7 +301,9 @@ def _centres(spark, sf_dir):
 
 @query(f"""{_PLACED}, {_CENTRES} SELECT p.read_idx, (SELECT arg_min(c.peak, abs(c.peak - p.start) * 100000 + c.peak) FROM centres c WHERE c.true_gene = p.true_gene AND c.true_isoform = p.true_isoform AND abs(c.peak - p.start) <= 20) AS key FROM placed p""")
 def nearest_peak(spark, sf_dir):
-    return R.nearest(_placed(spark, sf_dir), _centres(spark, sf_dir), _GROUP, "start", 20).select("read_idx", "key")
+    centres = _centres(spark, sf_dir).groupBy(*_GROUP).agg(F.sort_array(F.collect_list("peak")).alias("c"))
+    rows = _placed(spark, sf_dir).join(centres, _GROUP)
+    return _mapped(rows, ["read_idx", "c", "start"], "read_idx long, key long", lambda i, c, x: (i, ends.nearest(c, x, 20)))
 
 
 _KEYED = _PLACED + ', keyed AS (SELECT *, (start // 40) * 40 AS start_key, ("end" // 30) * 30 AS end_key FROM placed)'
@@ -307,7 +343,12 @@ def _lead_sql() -> str:
 @query(f"SELECT read_idx, {_lead_sql()} AS lead, left(seq, 1) AS first FROM reads JOIN genes USING (true_gene)")
 def untemplated_lead(spark, sf_dir):
     rows = reads(spark, sf_dir).join(genes(spark, sf_dir), "true_gene")
-    return rows.select("read_idx", dna.lead(F.col("seq"), F.col("dna"), F.col("true_start")).alias("lead"), F.substring("seq", 1, 1).alias("first"))
+
+    def one(i, seq, dna, start):
+        n, first = ends.lead(seq, dna, start) or (None, seq[:1])
+        return i, n, first
+
+    return _mapped(rows, ["read_idx", "seq", "dna", "true_start"], "read_idx long, lead int, first string", one)
 
 
 _SHARES = "v AS (SELECT true_gene, (count(*) FILTER (left(seq, 1) = 'G')::DOUBLE / count(*))::FLOAT AS v, count(*) % 7 AS sharp, count(*) FILTER (true_isoform = 1) > count(*) * 0.33 AS flag FROM reads GROUP BY 1)"
@@ -399,8 +440,9 @@ def consensus_assembly(spark, sf_dir):
 
 @query("""SELECT read_idx, (length(w) > 0 AND length(w) - length(replace(w, 'A', '')) >= 0.35::DOUBLE * length(w)) AS primed FROM (SELECT read_idx, substr(dna, "end"::INT - 100 + 1, 20) AS w FROM reads JOIN genes USING (true_gene))""")
 def internal_priming(spark, sf_dir):
-    rows = reads(spark, sf_dir).join(genes(spark, sf_dir), "true_gene")
-    return rows.select("read_idx", dna.primed(F.col("dna"), F.col("end") - 100, 20, 0.35).alias("primed"))
+    rows = reads(spark, sf_dir).join(genes(spark, sf_dir), "true_gene").withColumn("at", F.col("end") - 100)
+    o = IsoformOptions(priming_window=20, priming_a_frac=0.35)
+    return _mapped(rows, ["read_idx", "dna", "at"], "read_idx long, primed boolean", lambda i, dna, at: (i, primed(dna, at, o)))
 
 
 @query("s AS (SELECT true_gene, count(*) AS n FROM reads GROUP BY 1) SELECT r.read_idx, r.name, r.true_gene AS cluster_id FROM reads r JOIN s USING (true_gene) WHERE s.n BETWEEN 25 AND 40")
