@@ -56,9 +56,9 @@ def is_tail(seq: Column) -> Column:
 
 
 def strip_tails(seq: Column) -> Column:
-    """Runs of more than TAIL_BASES equal letters at an end cut back to one, the 3' end first."""
+    """Runs of more than TAIL_BASES equal letters at an end cut back to the innermost one, the 3' end first."""
     cut = F.regexp_replace(seq, rf"(?i)(.)\1{{{TAIL_BASES},}}$", "$1")
-    return F.regexp_replace(cut, rf"(?i)^(.)\1{{{TAIL_BASES},}}", "$1")
+    return F.regexp_replace(cut, rf"(?i)^(.)\1{{{TAIL_BASES - 1},}}(\1)", "$2")
 
 
 def primed(longer: Column, end: Column, window: int = 20, share: float = 0.6) -> Column:

@@ -33,16 +33,6 @@ def open_syncmers(smers: DataFrame, k: int, s: int, t: int) -> DataFrame:
     return least.where((F.col("n") == k - s + 1) & (F.col("least.pos") == F.col("pos") + t)).select("read_idx", "pos")
 
 
-def window_minimizers(kmers: DataFrame, k: int, w: int) -> DataFrame:
-    """From (read_idx, kmer, pos), the smallest of each w consecutive rows, without repeats and homopolymers."""
-    order = Window.partitionBy("read_idx").orderBy("pos")
-    span = order.rowsBetween(0, w - 1)
-    least = kmers.withColumn("m", F.min(F.struct("kmer", "pos")).over(span)).withColumn("n", F.count("*").over(span)).withColumn("all", F.count("*").over(Window.partitionBy("read_idx")))
-    whole = least.where((F.col("n") == w) | (F.col("all") < w)).withColumn("m", F.when(F.col("all") < w, F.struct("kmer", "pos")).otherwise(F.col("m")))
-    new = whole.withColumn("before", F.lag("m").over(order)).where(~F.col("m").eqNullSafe(F.col("before")))
-    return new.select("read_idx", "m.*").where(~F.col("kmer").isin([i * ((4**k - 1) // 3) for i in range(4)]))
-
-
 def kmer_runs(table: DataFrame) -> DataFrame:
     """(read_idx, kmer, positions in order)."""
     return table.groupBy("read_idx", "kmer").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
@@ -94,10 +84,25 @@ def folded(placed: DataFrame, dense: DataFrame, keys: list[str], tolerance: int)
 
 
 def stop_counts(placed: DataFrame, centres: DataFrame, keys: list[str], radius: int = ends.RADIUS) -> DataFrame:
-    """For each centre, the reads that start there and those that pass it."""
-    starting = (F.abs(F.col("start") - F.col("peak")) <= radius).cast("long")
-    passing = ((F.col("start") < F.col("peak") - radius) & (F.col("end") > F.col("peak") + radius)).cast("long")
-    return centres.join(placed.select(*keys, "start", "end"), keys).groupBy(*keys, "peak").agg(F.sum(starting).alias("starting"), F.sum(passing).alias("passing"))
+    """For each centre, the reads that start there and those that pass it.
+
+    Reads pass if they start before the window around the centre, less those that end by its end, but
+    for those that lie within it. The first two are running counts along each group, and only reads
+    that start in a centre's window are joined with it, by bucket: no read meets every centre.
+    """
+    counted = centres
+    for name, point, edge, first in (("before", "start", -radius, 0), ("by", "end", radius, 1)):
+        points = placed.select(*keys, F.col(point).cast("long").alias("x"), F.lit(1 - first).alias("turn"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("peak"))
+        asked = centres.select(*keys, (F.col("peak") + edge).cast("long").alias("x"), F.lit(first).alias("turn"), F.lit(0).alias("one"), F.col("peak").cast("long").alias("peak"))
+        upto = F.sum("one").over(Window.partitionBy(*keys).orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, 0))
+        counted = counted.join(points.unionByName(asked).withColumn(name, upto).where("peak IS NOT NULL").select(*keys, "peak", name), [*keys, "peak"])
+    size = 2 * radius + 1
+    bucket = lambda c: F.floor(c / F.lit(size)).cast("long")
+    reach = centres.select(*keys, "peak", F.explode(F.array_distinct(F.array(bucket(F.col("peak") - radius), bucket(F.col("peak") + radius)))).alias("_b"))
+    near = placed.select(*keys, "start", "end").withColumn("_b", bucket(F.col("start"))).join(reach, [*keys, "_b"]).where(F.abs(F.col("start") - F.col("peak")) <= radius)
+    near = near.groupBy(*keys, "peak").agg(F.count("*").alias("starting"), F.count_if(F.col("end") <= F.col("peak") + radius).alias("within"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return counted.join(near, [*keys, "peak"], "left").select(*keys, "peak", zero("starting").cast("long").alias("starting"), (F.col("before") - F.col("by") + zero("within")).cast("long").alias("passing"))
 
 
 def otsu(values: DataFrame, column: str = "v", default: float = ends.CAPPED_SHARE) -> DataFrame:

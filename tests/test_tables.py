@@ -155,6 +155,36 @@ def test_commands_write_their_files(spark, tmp_path, capsys):
     assert stop.value.code == 2
 
 
+def test_column_functions_agree_with_the_kernels(spark):
+    """What the library offers as column functions and tables gives what the commands' kernels give."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from isoloom.functions import dna
+    from isoloom.operators import ends, placement, relational, seeds
+    from isoloom.operators.merge import primed
+
+    r = random.Random(31)
+    texts = ["".join(r.choice("ACGTacgtN") if r.random() < 0.1 else r.choice("ACGT") for _ in range(r.randint(15, 60))) for _ in range(60)]
+    texts += ["A" * 12 + t + r.choice("Tt") * r.randint(9, 14) for t in texts[:20]] + ["A" * 30]
+    frame = spark.createDataFrame([(i, t, t[5:] + "ACGTTGCA") for i, t in enumerate(texts)], "i long, s string, b string")
+    o = IsoformOptions(priming_window=20, priming_a_frac=0.35)
+    got = frame.select("i", dna.encode(F.substring("s", 1, 15)).alias("code"), dna.as_unsigned(dna.smer_hash(F.upper("s"), 1, 9)).alias("hash"), dna.is_tail(F.col("s")).alias("tail"), dna.strip_tails(F.col("s")).alias("cut"), dna.primed(F.col("s"), F.lit(3), 20, 0.35).alias("primed"), dna.lead(F.col("s"), F.col("b"), F.lit(0)).alias("lead")).collect()
+    for row in got:
+        t = texts[row.i]
+        code = seeds.codes(t)
+        assert row.code == int(seeds.kmer_values(code, 15)[0]) and row.hash == str(int(seeds.smer_hashes(code, 9)[0]))
+        assert (row.tail, row.cut, row.primed) == (placement.is_tail(t), placement.strip_tails(t), primed(t, 3, o))
+        assert row.lead == (ends.lead(t, t[5:] + "ACGTTGCA", 0) or [None])[0]
+    clean = [t.upper().replace("N", "A") for t in texts]
+    rows = [(i, p, int(h)) for i, t in enumerate(clean) for p, h in enumerate(seeds.smer_hashes(seeds.codes(t), 9).view(np.int64))]
+    found = relational.open_syncmers(spark.createDataFrame(rows, "read_idx long, pos int, h long"), 15, 9, 3).collect()
+    assert sorted((x.read_idx, x.pos) for x in found) == [(i, int(p)) for i, t in enumerate(clean) for p in seeds.syncmers(t, 15, 9, 3)[0]]
+    centres, points = [5, 30, 31, 90], [(i, r.randint(0, 100)) for i in range(80)]
+    near = relational.nearest(spark.createDataFrame([(1, i, x) for i, x in points], "g int, i long, x long"), spark.createDataFrame([(1, c) for c in centres], "g int, peak long"), ["g"], "x", 10).collect()
+    assert {x.i: x.key for x in near} == {i: ends.nearest(centres, x, 10) for i, x in points}
+
+
 def test_library_of_statistics_is_that_of_lists(spark):
     """The decision made by Spark's sums against the one over lists on the driver."""
     from isoloom.operators.ends import StartStats
