@@ -129,9 +129,15 @@ def accuracies(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 
 
 def judged(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the counts, base_failed, the votes' pattern, posterior, kept: one row per document, with the columns `keep` as row."""
-    voted = written(counts(docs, keep).withColumn("pattern", F.expr(f"CAST({pattern_sql()} AS int)")), "votes")
-    posterior = estimated(voted.groupBy("pattern").agg(F.count("*").alias("n")))
+    """doc_id, the counts, base_failed, the votes' pattern, posterior, kept: one row per document, with the columns `keep` as row.
+
+    Counts are written once. Rows that carry whole texts are not: they are counted a second time instead.
+    """
+    pattern = F.expr(f"CAST({pattern_sql()} AS int)").alias("pattern")
+    voted = counts(docs, keep).select("*", pattern)
+    voted = voted if keep else written(voted, "votes")
+    patterns = counts(docs).select(pattern) if keep else voted
+    posterior = estimated(patterns.groupBy("pattern").agg(F.count("*").alias("n")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = voted.join(F.broadcast(posterior), "pattern").withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
