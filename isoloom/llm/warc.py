@@ -94,7 +94,8 @@ def write(pages: DataFrame, path: str, smallest: int = 0, compression: str = "gz
     parts = rows.groupBy("sha", "salt").agg(F.min(key).alias("first"))
     first = parts.withColumn("first", F.min("first").over(Window.partitionBy("sha")))
     small = F.octet_length("html") < smallest
-    both = rows.groupBy("sha", "salt", "page_id", "url").agg(F.first("html").alias("html"), F.count("*").alias("copies")).join(first, ["sha", "salt"])
+    # Pages are dealt out once: the union of equal rows and the join both keep that.
+    both = rows.repartition("sha", "salt").groupBy("sha", "salt", "page_id", "url").agg(F.first("html").alias("html"), F.count("*").alias("copies")).join(first, ["sha", "salt"])
     named = both.select("page_id", "url", "html", "copies", F.when(small, F.col("page_id")).otherwise(F.col("first.page_id")).alias("first_id"), F.when(small, F.col("url")).otherwise(F.col("first.url")).alias("first_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
