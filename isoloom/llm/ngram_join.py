@@ -9,10 +9,11 @@ reaches the threshold, tested in whole numbers. The product is never made whole:
   + 1` of each. Only those prefixes form the incidence that is multiplied, dealt out in blocks of
   n-grams. The order puts the longest n-grams first, as they are rare, and known frequent ones
   last; any order gives the same links.
-* The product of a block adds up, for each pair of documents, the n-grams shared in the prefixes.
-  What two documents share beyond lies behind the prefix that ends first, so a pair whose count,
-  with the larger rest, stays below what the two sizes require is discarded; the others are
-  counted over their whole sets.
+* A block gives each of its columns as the list of its documents, one row a column, however many
+  blocks there are. Columns of the same documents are united, wherever they were, and squared once;
+  for each pair of documents this adds up the n-grams shared in the prefixes. What two documents
+  share beyond lies behind the prefix that ends first, so a pair whose count, with the larger rest,
+  stays below what the two sizes require is discarded; the others are counted over their whole sets.
 * A column with more than LONG documents is not squared. Each of its documents is first compared
   with the column's head; components of those links are contracted. Columns with the same head are
   then multiplied together in blocks of documents, and only pairs across components whose counts
@@ -114,40 +115,24 @@ def frequent_keys(docs: DataFrame, n: int, most: int = FREQUENT, times: int = SU
     return np.sort(top["key"].to_numpy().astype(K.U))
 
 
-def _product(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int = LONG) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key in; out: pair counts of short columns (kind 0), the rows of long ones (kind 1), and how many
-    columns a hot document has for itself (kind 2)."""
-    names = ["kind", "a", "b", "a_size", "b_size", "n"]
-
-    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int8)), *(pa.array(c.astype(np.int64)) for c in columns)], names=names)
-
-    pairs: list[np.ndarray] = []
-    held = 0
-
-    def summed() -> np.ndarray:
-        """All pairs so far, each once with its count: (a, b, a_size, b_size, n)."""
-        every = np.concatenate(pairs)
-        every = every[np.lexsort((every[:, 1], every[:, 0]))]
-        edge = np.flatnonzero(np.concatenate([[True], (every[1:, :2] != every[:-1, :2]).any(axis=1)]))
-        once = every[edge]
-        once[:, 4] = np.add.reduceat(every[:, 4], edge)
-        return once
-
-    def squared(rows: np.ndarray, edge: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
-        for size in np.unique(counts[(counts > 1) & (counts <= most)]):
-            at = edge[counts == size]
-            i, j = np.triu_indices(size, 1)
-            step = max(1, 500_000 // len(i))
-            for s in range(0, len(at), step):
-                left = rows[(at[s : s + step, None] + i).ravel()]
-                right = rows[(at[s : s + step, None] + j).ravel()]
-                keep = (left[:, 1] != right[:, 1]) & (np.minimum(left[:, 2], right[:, 2]) * den >= num * np.maximum(left[:, 2], right[:, 2]))
-                left, right = left[keep], right[keep]
-                swap = left[:, 1] > right[:, 1]
-                left[swap], right[swap] = right[swap], left[swap].copy()
-                if len(left):
-                    yield np.stack([left[:, 1], right[:, 1], left[:, 2], right[:, 2], np.ones(len(left), np.int64)], axis=1)
+def _columns(batches: Iterator[pa.RecordBatch], most: int = LONG, together: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and document in; out: the members of each short column (kind 0), the rows of long ones (kind 1),
+    and how many columns a hot document has for itself (kind 2)."""
+
+    def out(kind: int, key: np.ndarray, doc: np.ndarray, size: np.ndarray, n: np.ndarray, members: pa.Array | None = None) -> pa.RecordBatch:
+        numbers = [pa.array(c.astype(np.int64)) for c in (key, doc, size, n)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), *numbers, pa.nulls(len(key), MEMBERS) if members is None else members], names=["kind", "key", "doc_id", "size", "n", "members"])
+
+    held: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
+    ready = 0
+
+    def gathered() -> pa.RecordBatch:
+        rows, counts = np.concatenate(held), np.concatenate(lengths)
+        members = pa.StructArray.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["doc_id", "size"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), members)
+        zero = np.zeros(len(counts))
+        return out(0, zero, zero, zero, zero, lists)
 
     lonely: dict[int, int] = {}
     rest, open_key = np.zeros((0, 4), np.int64), None
@@ -161,34 +146,34 @@ def _product(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int =
         now, rest = rest[:end], rest[end:]
         if len(now):
             edge = np.flatnonzero(np.concatenate([[True], now[1:, 0] != now[:-1, 0]]))
-            counts = np.diff(np.append(edge, len(now)))
+            lasting = np.diff(np.append(edge, len(now)))
+            counts = lasting.copy()
             if now[0, 0] == open_key:
                 counts[0] = max(counts[0], most + 1)  # its first rows have gone out
-            long = np.repeat(counts > most, np.diff(np.append(edge, len(now))))
+            long = np.repeat(counts > most, lasting)
             if long.any():
                 x = now[long]
-                yield out(1, x[:, 0], x[:, 1], x[:, 2], x[:, 2], np.zeros(len(x)))
+                yield out(1, x[:, 0], x[:, 1], x[:, 2], np.zeros(len(x)))
             alone = now[edge[counts == 1]]
             for doc, n in zip(*np.unique(alone[alone[:, 3] > 0, 1], return_counts=True), strict=True):
                 lonely[int(doc)] = lonely.get(int(doc), 0) + int(n)
-            for made in squared(now, edge, counts):
-                pairs.append(made)
-                held += len(made)
-                if held > 1_000_000:
-                    once = summed()
-                    if len(once) > 300_000:
-                        yield out(0, *once.T)
-                        once = once[:0]
-                    pairs, held = [once], len(once)
+            short = (counts > 1) & (counts <= most)
+            if short.any():
+                held.append(now[np.repeat(short, lasting)])
+                lengths.append(counts[short])
+                ready += len(held[-1])
+                if ready > together:
+                    yield gathered()
+                    held, lengths, ready = [], [], 0
         if len(rest) > most:  # a long column goes out as it comes, however long it is
             open_key = rest[0, 0]
-            yield out(1, rest[:, 0], rest[:, 1], rest[:, 2], rest[:, 2], np.zeros(len(rest)))
+            yield out(1, rest[:, 0], rest[:, 1], rest[:, 2], np.zeros(len(rest)))
             rest = rest[:0]
-    if held:
-        yield out(0, *summed().T)
+    if ready:
+        yield gathered()
     if lonely:
-        none = np.zeros(len(lonely), np.int64)
-        yield out(2, np.array(list(lonely)), none, none, none, np.array(list(lonely.values())))
+        zero = np.zeros(len(lonely))
+        yield out(2, zero, np.array(list(lonely)), zero, np.array(list(lonely.values())))
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -196,7 +181,18 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-PAIRS = "kind tinyint, a long, b long, a_size long, b_size long, n long"
+COLUMNS = "kind tinyint, key long, doc_id long, size long, n long, members array<struct<doc_id: long, size: long>>"
+MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("size", pa.int64())]))
+
+
+def squared(short: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, a_size, b_size, n) of the documents in columns (members); columns of the same members are squared once."""
+    once = short.groupBy("members").agg(F.count("*").alias("n"))
+    left = once.select("members", "n", F.posexplode("members").alias("i", "x"))
+    both = left.select("n", "x", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("y"))
+    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    able = both.where((F.col("x.doc_id") != F.col("y.doc_id")) & (small * den >= large * num))
+    return able.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("a_size"), F.col("y.size").alias("b_size"), "n")
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -279,14 +275,14 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long: int
 
     incidence = chosen.mapInArrow(exploded, "key long, doc_id long, size int, hot boolean")
     known = F.col("key").bitwiseAND(1 << 62) != 0  # frequent n-grams: their columns are long, and are not gathered
-    blocks = incidence.where(~known).repartition("key").sortWithinPartitions("key")
-    product = written(blocks.mapInArrow(lambda it: _product(it, num, den, long), PAIRS), "product")
-    short = product.where("kind = 0").select("a", "b", "a_size", "b_size", "n")
-    column = product.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("a_size").alias("size"))
+    blocks = incidence.where(~known).repartition("key").sortWithinPartitions("key", "doc_id")
+    product = written(blocks.mapInArrow(lambda it: _columns(it, long), COLUMNS), "product")
+    short = squared(product.where("kind = 0"), num, den)
+    column = product.where("kind = 1").select("key", "doc_id", "size")
     # A document whose prefix reaches the frequent n-grams has all its others in the prefix. What only one of
     # two such documents holds there counts against them: `own` is what a document shares with nobody, -1
     # where that is not known.
-    own = product.where("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("own"))
+    own = product.where("kind = 2").groupBy("doc_id").agg(F.sum("n").alias("own"))
     column = column.withColumn("own", F.lit(-1).cast("long")).unionByName(incidence.where(known).select("key", "doc_id", F.col("size").cast("long").alias("size")).join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).select("key", "doc_id", "size", "own"))
     column = written(column, "columns")
     able = lambda x, u, y, v: F.least(x - F.greatest(u, F.lit(0)), y - F.greatest(v, F.lit(0))) * den >= F.greatest(x + F.greatest(v, F.lit(0)), y + F.greatest(u, F.lit(0))) * num

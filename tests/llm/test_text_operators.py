@@ -170,6 +170,38 @@ def test_ngram_join_heads_of_other_sizes_over_many_parts(spark, parts):
     assert {got[i][1] for i in range(1, 61)} == {1} and got[0][1] == 0
 
 
+def test_ngram_join_product_is_no_larger_over_more_tasks(spark, monkeypatch):
+    """Near copies share n-grams in every task: what a task tells of them is a row a column, not a row a pair and task."""
+    rows = []
+    for group in range(12):
+        words = [f"w{group}x{i}" for i in range(300)]
+        rows += [(10 * group + i, " ".join([*words, f"end{i}"])) for i in range(6)]
+
+    class Made(Exception):
+        pass
+
+    def counted(df, name, written=ngram_join.written):
+        made = written(df, name)
+        if name == "product":
+            raise Made(made.count())
+        return made
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    made = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (2, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            with pytest.raises(Made) as told:
+                ngram_join.joined(table(spark, rows))
+            made.append(told.value.args[0])
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert made[0] == made[1] > 0
+
+
 def test_ngram_join_empty_and_defaults(spark):
     assert ngram_join.joined(table(spark, [])).collect() == []
     rows = [(5, "a b c d e f g h i j k l"), (3, "A B C D E F G H I J K L"), (4, ""), (6, None)]
